@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import batches, conversations, percentiles, splitting
+from tidemark.llm import batches, conversations, percentiles, residue, splitting, survivors
 from tidemark.session import read
 
 PROBS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -32,10 +32,25 @@ def p2_windows(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_windows(read(spark, d, "chunks"), "id", "episode_ids").where("n_pieces > 1")
 
 
+RESULTS = ("websearch", "exa_search_deep_researcher_start")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue({t: read(spark, d, t) for t in RESULTS}).select("result_table", "result_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return batches.refusals(read(spark, d, "episodes"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.suppliers(read(spark, d, "notes")).select("group_min_id", "field", "note_id")
+
+
+def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.survivors(read(spark, d, "notes"))
+
+
 def _timings(spark: SparkSession, d: str) -> DataFrame:
     """One row per call and timing; a redelivered row counts once."""
     rows = read(spark, d, "recall_metrics").select("id", "created_at", "kind", "source", "ms_total", "ms_rerank").distinct()
