@@ -62,10 +62,10 @@ def missing(side: Column) -> Column:
     bracketed = rf"^{_OPEN} ?(?:{notice}|{'|'.join(TRANSPORT)}) ?[.!…]*{_CLOSE}[.!]?$"
     naked = r"^(?:null|none|undefined|nan|nil)$|^(?:no response|request (?:was )?aborted|interrupted by user)\.?$"
     transport = rf"^(?:{'|'.join(TRANSPORT)})$"
-    return (
-        ~plain.rlike(r"[\p{L}\p{N}\p{So}]")
-        | (bare & (lower.rlike(bracketed) | lower.rlike(naked) | (lower.rlike(transport) & ~lower.rlike(r"^\d+$"))))
-    )
+    words = side.rlike(r"[\p{L}\p{N}\p{So}]")
+    short = ~words | (bare & (lower.rlike(bracketed) | lower.rlike(naked) | (lower.rlike(transport) & ~lower.rlike(r"^\d+$"))))
+    # a notice is short; a long side only has to have a word
+    return F.when(side.isNull(), True).when(F.length(F.trim(side)) > 400, ~words).otherwise(short)
 
 
 def _nodes(episodes: DataFrame) -> DataFrame:
