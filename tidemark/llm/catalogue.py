@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import batches, conversations, percentiles, residue, splitting, survivors
+from tidemark.llm import batches, conversations, percentiles, personal, residue, splitting, survivors
 from tidemark.session import read
 
 PROBS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -39,6 +39,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue({t: read(spark, d, t) for t in RESULTS}).select("result_table", "result_id")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.findings(read(spark, d, "episodes"), read(spark, d, "notes"))
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "episodes").select("id", "human_turn", "content").distinct()
+    return rows.select("id", personal.redacted("human_turn").alias("human_turn"), personal.redacted("content").alias("content"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return batches.refusals(read(spark, d, "episodes"))
 
