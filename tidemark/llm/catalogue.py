@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import batches, conversations, percentiles, personal, residue, splitting, survivors
+from tidemark.llm import batches, conversations, encoding, percentiles, personal, residue, splitting, survivors
 from tidemark.session import read
 
 PROBS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -77,6 +77,10 @@ def p7_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*keys, "n", *(F.round(p, 6).alias(p) for p in PROBS))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode(read(spark, d, "documents"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
 
