@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import batches, conversations, encoding, percentiles, personal, residue, splitting, survivors
+from tidemark.llm import batches, conversations, encoding, percentiles, personal, residue, splitting, subjects, survivors
 from tidemark.session import read
 
 PROBS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -81,6 +81,12 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(read(spark, d, "documents"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    model = subjects.train(docs, read(spark, d, "subjects"), read(spark, d, "subject_labels"))
+    return subjects.assign(docs, model).select("doc_id", "subject")
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
 
