@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import batches, conversations, encoding, percentiles, personal, residue, splitting, subjects, survivors
+from tidemark.llm import batches, conversations, encoding, mixing, percentiles, personal, residue, splitting, subjects, survivors
 from tidemark.session import read
 
 PROBS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -67,20 +69,29 @@ def _timings(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.to_date("created_at").alias("day"), "kind", "source", metric.alias("m")).select("day", "kind", "source", "m.metric", "m.ms").where("ms >= 0")
 
 
-def p7_daily(spark: SparkSession, d: str) -> DataFrame:
-    return percentiles.sketch(_timings(spark, d), ["day", "kind", "source", "metric"], "ms")
-
-
 def p7_percentiles(spark: SparkSession, d: str) -> DataFrame:
     keys = ["kind", "source", "metric"]
     out = percentiles.quantiles(percentiles.merge(p7_daily(spark, d), keys), keys, PROBS)
     return out.select(*keys, "n", *(F.round(p, 6).alias(p) for p in PROBS))
 
 
+def p7_daily(spark: SparkSession, d: str) -> DataFrame:
+    return percentiles.sketch(_timings(spark, d), ["day", "kind", "source", "metric"], "ms")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(read(spark, d, "documents"))
 
 
+def p9_selection(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.select(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = read(spark, d, "mix_targets")
+    return mixing.shares(mixing.select(read(spark, d, "documents"), targets), targets)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
     model = subjects.train(docs, read(spark, d, "subjects"), read(spark, d, "subject_labels"))
@@ -91,5 +102,55 @@ def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
 
 
+def _p1_sql() -> str:
+    c = conversations
+    lit = lambda x: "'" + x.replace("'", "''") + "'"
+    blank, notice, transport = lit(c.BLANK), "|".join(c.NOTICES), "|".join(c.TRANSPORT)
+    bracketed = lit(rf"^{c._OPEN} ?(?:{notice}|{transport}) ?[.!…]*{c._CLOSE}[.!]?$")
+    naked = lit(c.NAKED)
+
+    def missing(x: str) -> str:
+        plain = f"trim(regexp_replace(coalesce({x}, ''), {blank}, ' ', 'g'))"
+        low = f"lower({plain})"
+        return (
+            rf"({x} is null or not regexp_matches({plain}, '[\p{{L}}\p{{N}}\p{{So}}]') or (length(trim({x})) <= 400 and length({plain}) <= 200 and "
+            rf"(regexp_matches({low}, {bracketed}) or regexp_matches({low}, {naked}) or (regexp_matches({low}, {lit(f'^(?:{transport})$')}) and not regexp_matches({low}, '^\d+$')))))"
+        )
+
+    squeezed = lambda x: f"regexp_replace(coalesce({x}, ''), {blank}, '', 'g')"
+    return f"""
+        with n as (
+            select session_id, sequence, count(distinct {squeezed('human_turn')} || chr(1) || {squeezed('assistant_turn')}) as nodes,
+                   bool_or({missing('human_turn')} or {missing('assistant_turn')}) as bad
+            from episodes where session_id is not null group by 1, 2)
+        select session_id from n group by 1
+        having min(sequence) > 1 or max(sequence) - min(sequence) + 1 > count(sequence) or max(nodes) > 1 or bool_or(bad) or bool_or(sequence is null)"""
+
+
 def oracle_sql():
-    return {}
+    inv = repr(1.0 / math.log(1.01 / 0.99))
+    g = repr((1 + percentiles.ALPHA) / (1 - percentiles.ALPHA))
+    rows = """
+        with r as (select distinct id, created_at, kind, source, ms_total, ms_rerank from recall_metrics),
+        m as (select created_at::date as day, kind, source, 'ms_total' as metric, ms_total::double as ms from r
+              union all select created_at::date, kind, source, 'ms_rerank', ms_rerank::double from r),
+        v as (select *, case when ms = 0 then 0 else 1 end as sign, case when ms = 0 then 0 else ceil(ln(ms) * %s)::int end as bucket
+              from m where ms is not null and not isnan(ms) and ms < 'infinity'::double and ms >= 0)""" % inv
+    picks = ", ".join(f"round(min(case when cum > floor({p} * (n - 1)) then val end), 6) as {name}" for name, p in PROBS.items())
+    return {
+        "p1_found": _p1_sql(),
+        "p2_found": """
+            select distinct 'web_chunks' as item_table, id as item_id from web_chunks where length(trim(content, ' ' || chr(9) || chr(10) || chr(13))) > 1500
+            union all select distinct 'chunks', id from chunks where len(list_distinct(list_filter(episode_ids, lambda x: x is not null))) > 4""",
+        "p2_windows": """
+            with e as (select distinct id, list_filter(episode_ids, lambda x: x is not null) as l from chunks),
+            d as (select distinct id, list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda x: list_position(l, x[1]) = x[2]), lambda x: x[1]) as e from e),
+            n as (select id, e, ceil((len(e) - 1) / 3.0)::int as n_pieces from d where len(e) > 4)
+            select id, k::int as piece, n_pieces, e[k * 3 + 1 : k * 3 + 4] as episode_ids from n, lateral (select unnest(range(n_pieces)) as k)""",
+        "p7_daily": f"{rows} select day, kind, source, metric, sign, bucket, count(*) as n from v group by all",
+        "p7_percentiles": f"""{rows},
+            b as (select kind, source, metric, sign, bucket, count(*) as c from v group by all),
+            w as (select *, sum(c) over (partition by kind, source, metric order by sign, bucket) as cum, sum(c) over (partition by kind, source, metric) as n,
+                  case when sign = 0 then 0.0 else 2.0 * power({g}::double, bucket) / ({g}::double + 1) end as val from b)
+            select kind, source, metric, max(n)::bigint as n, {picks} from w group by 1, 2, 3""",
+    }

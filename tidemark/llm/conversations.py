@@ -44,6 +44,8 @@ TRANSPORT = [
     r"(?:http )?(?:408|429|499|500|502|503|504|520|524|529)(?: [a-z ]{3,40})?(?:, request id.{0,60})?",
     r"api fehler.{0,80}|fehler: .{0,80}verbindung.{0,60}|error de (?:red|conexi[oó]n).{0,80}",
 ]
+#: The names of nothing that count without brackets.
+NAKED = r"^(?:null|none|undefined|nan|nil)$|^(?:no response|request (?:was )?aborted|interrupted by user)\.?$"
 _OPEN, _CLOSE = r"[\[\(<{*_]{1,2}", r"[\]\)>}*_]{1,2}"
 
 
@@ -58,12 +60,11 @@ def missing(side: Column) -> Column:
     bare = F.length(plain) <= 200
     lower = F.lower(plain)
     notice = "|".join(NOTICES)
-    # a notice stands in brackets; only the names of nothing count without them
+    # a notice stands in brackets
     bracketed = rf"^{_OPEN} ?(?:{notice}|{'|'.join(TRANSPORT)}) ?[.!…]*{_CLOSE}[.!]?$"
-    naked = r"^(?:null|none|undefined|nan|nil)$|^(?:no response|request (?:was )?aborted|interrupted by user)\.?$"
     transport = rf"^(?:{'|'.join(TRANSPORT)})$"
     words = side.rlike(r"[\p{L}\p{N}\p{So}]")
-    short = ~words | (bare & (lower.rlike(bracketed) | lower.rlike(naked) | (lower.rlike(transport) & ~lower.rlike(r"^\d+$"))))
+    short = ~words | (bare & (lower.rlike(bracketed) | lower.rlike(NAKED) | (lower.rlike(transport) & ~lower.rlike(r"^\d+$"))))
     # a notice is short; a long side only has to have a word
     return F.when(side.isNull(), True).when(F.length(F.trim(side)) > 400, ~words).otherwise(short)
 
