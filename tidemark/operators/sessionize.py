@@ -20,21 +20,23 @@ def turn_groups(records: DataFrame, session: str, pos: str, is_user_turn: Column
     return records.withColumn("turn", F.when(first, starts).otherwise(starts + 1).cast("int"))
 
 
-def assemble_episodes(records: DataFrame, session: str = "session_id", pos: str = "pos") -> DataFrame:
-    """Episodes of grouped records.
-
-    records: session_id, pos, turn, type (user or assistant), uuid, text, tool, ts, and optionally project and model.
-    tool rows carry a `[tool:...]` or `[result] ...` line in text with kind 'tool' or 'result'. Content is the tagged
-    parts joined by blank lines: context (300 characters of the reply before), user (3000), tool (300), result (500,
-    those of up to 20 characters dropped), assistant (3000). The last uuid is the span; a repeated span keeps its
-    first episode but uses up a sequence number.
+def assemble_episodes(records: DataFrame, session: str = "session_id", pos: str = "pos", span: str = "jsonl:", cap: int = 3000, spoken: bool = False) -> DataFrame:
+    """Episodes of grouped records: session_id, pos, turn, kind, text, tool, uuid, ts.
+
+    Kinds: user, assistant, tool, result, title, attachments; other rows only bring their uuid and ts. Content is the
+    tagged parts joined by blank lines: context (300 characters of the reply before), user and assistant (`cap`),
+    tool (300), result (500; up to 20 characters dropped), title (200). The last uuid after the prefix `span` is the
+    span; a repeated span keeps its first episode but uses up a sequence number. `spoken` drops turns without words.
     """
     kind, text = F.col("kind"), F.col("text")
+    tag = lambda t, n: F.concat(F.lit(f"[{t}] "), F.substring(text, 1, n))
     part = (
-        F.when(kind == "user", F.concat(F.lit("[user] "), F.substring(text, 1, 3000)))
-        .when(kind == "assistant", F.concat(F.lit("[assistant] "), F.substring(text, 1, 3000)))
+        F.when(kind == "user", tag("user", cap))
+        .when(kind == "assistant", tag("assistant", cap))
         .when(kind == "tool", F.concat(F.lit("[tool:"), F.coalesce("tool", F.lit("tool")), F.lit("] "), F.substring(text, 1, 300)))
-        .when((kind == "result") & (F.length(text) > 20), F.concat(F.lit("[result] "), F.substring(text, 1, 500)))
+        .when((kind == "result") & (F.length(text) > 20), tag("result", 500))
+        .when(kind == "title", tag("title", 200))
+        .when(kind == "attachments", F.concat(F.lit("[attachments] "), text))
     )
     first_user = F.row_number().over(Window.partitionBy(session, "turn", "kind").orderBy(pos)) == 1
     rows = records.withColumn("part", part).withColumn("_fu", first_user)
@@ -50,7 +52,9 @@ def assemble_episodes(records: DataFrame, session: str = "session_id", pos: str
     said = F.last("assistant_turn", ignorenulls=False).over(w.rowsBetween(-1, -1))
     turns = turns.withColumn("_prev", said).withColumn("sequence", F.row_number().over(w))
     turns = turns.withColumn("parts", F.when(F.coalesce(F.col("_prev"), F.lit("")) != "", F.concat(F.array(F.concat(F.lit("[context] "), F.substring(F.trim("_prev"), 1, 300))), "parts")).otherwise(F.col("parts")))
-    turns = turns.where(F.size("parts") > 0).withColumn("span_id", F.when(F.col("uuid").isNotNull(), F.concat(F.lit("jsonl:"), "uuid")))
+    if spoken:
+        turns = turns.where("human_turn is not null or assistant_turn is not null")
+    turns = turns.where(F.size("parts") > 0).withColumn("span_id", F.when(F.col("uuid").isNotNull(), F.concat(F.lit(span), "uuid")))
     again = F.row_number().over(Window.partitionBy(session, "span_id").orderBy("sequence"))
     turns = turns.withColumn("_again", F.when(F.col("span_id").isNull(), 1).otherwise(again)).where(F.col("_again") == 1)
     clean = lambda c: F.regexp_replace(c, "\x00", "")
