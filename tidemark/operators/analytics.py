@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def percentile_series(df: DataFrame, ts: str, legs: dict[str, tuple[str, float]], unit: str = "hour") -> DataFrame:
     """Exact percentiles per time bucket: bucket, n, one column per leg (column, probability). Nulls and NaN ignored."""
     rows = df.withColumn("bucket", F.date_trunc(unit, ts))
-    aggs = [F.expr(f"round(percentile_cont({p}) within group (order by case when isnan(cast({c} as double)) then null else cast({c} as double) end), 6)").alias(n) for n, (c, p) in legs.items()]
+    aggs = [F.expr(f"percentile_cont({p}) within group (order by case when isnan(cast({c} as double)) then null else cast({c} as double) end)").alias(n) for n, (c, p) in legs.items()]
     return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *aggs)
 
 

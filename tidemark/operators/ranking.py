@@ -18,6 +18,10 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
 
 
+def _count(words: str, term: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == F.lit(term)))
+
+
 def bm25(docs: DataFrame, id_col: str, text: str, query: str, k: int = 100, k1: float = K1, b: float = B) -> DataFrame:
     """id, score, rank of the k best documents for the terms of a query; any term may match.
 
@@ -29,7 +33,7 @@ def bm25(docs: DataFrame, id_col: str, text: str, query: str, k: int = 100, k1:
     if not terms:
         return docs.select(F.col(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     toks = docs.select(id_col, T.tokens(text).alias("_t")).select(
-        id_col, F.size("_t").alias("_len"), *(F.size(F.filter("_t", lambda x, t=t: x == F.lit(t))).alias(f"_f{i}") for i, t in enumerate(terms))
+        id_col, F.size("_t").alias("_len"), *(_count("_t", t).alias(f"_f{i}") for i, t in enumerate(terms))
     )
     stats = toks.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(terms))))
     parts = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,33 +53,26 @@ def minhash_bands(df: DataFrame, ident: str, grams: Column, perms: int = PERMS,
     return df.where(F.size(grams) > 0).select(F.col(ident), F.explode(bands).alias("band"))
 
 
-def fuzzy_pairs(names: DataFrame, ident: str, name: str, floor: float = 0.7, hot: int = 200) -> DataFrame:
+def fuzzy_pairs(names: DataFrame, ident: str, name: str, floor: float = 0.7) -> DataFrame:
     """a, b, similarity of ids whose normalised names have a 3-gram Jaccard similarity of at least `floor`.
 
     Names are compared once per distinct fuzzy form: rows with an equal form are one class (of its least id), and the
-    membership is what the caller joins back. Candidates share a band of the MinHash signature and are verified
-    exactly. Bands met by more than `hot` distinct forms are handled by rarest-gram prefixes instead: at similarity t
-    two sets must share one of their first (1 - t) n + 1 grams in any fixed order, so no pair is lost there.
+    membership is what the caller joins back. Candidates come from a prefix filter, which is exact: with the grams of
+    all names in one order, rarest first, two sets of similarity t share one of their first (1 - t) n + 1 grams. The
+    rarest grams are the shortest lists, and sizes must be within the factor t, so few pairs reach the exact check.
     """
     norm = T.normalized_name(F.col(name))
     rows = names.select(F.col(ident).alias("id"), norm.alias("n"), T.fuzzy_name(F.col(name)).alias("f")).where(T.fuzzy_eligible(F.col("n"))).where("f != ''")
     forms = cut(rows.groupBy("f").agg(F.min("id").alias("id")).withColumn("g", T.shingles(F.col("f"))))
-    bands = minhash_bands(forms, "id", F.col("g"))
-    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    warm = bands.join(sizes.where(F.col("n") <= hot).select("band"), "band")
-    pairs = warm.withColumnRenamed("id", "a").join(warm.withColumnRenamed("id", "b"), "band").where("a < b").select("a", "b")
-    crowded = bands.join(sizes.where(F.col("n") > hot).select("band"), "band", "left_semi").select("id").distinct()
-    some = forms.join(crowded, "id", "left_semi")
-    df = some.select(F.explode("g").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    ranked = some.select("id", F.size("g").alias("n"), F.explode("g").alias("t")).join(df, "t")
+    df = forms.select(F.explode("g").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    ranked = forms.select("id", F.size("g").alias("n"), F.explode("g").alias("t")).join(df, "t")
     nth = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
     prefix = ranked.withColumn("k", nth).where(F.col("k") <= F.floor((1 - floor) * F.col("n") + 1e-9) + 1).select("id", "t", "n")
-    more = prefix.select(F.col("id").alias("a"), "t", F.col("n").alias("na")).join(prefix.select(F.col("id").alias("b"), "t", F.col("n").alias("nb")), "t")
-    more = more.where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= floor * F.greatest("na", "nb"))).select("a", "b")
-    cand = pairs.unionByName(more).distinct()
+    met = prefix.select(F.col("id").alias("a"), "t", F.col("n").alias("na")).join(prefix.select(F.col("id").alias("b"), "t", F.col("n").alias("nb")), "t")
+    cand = met.where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= floor * F.greatest("na", "nb"))).select("a", "b").distinct()
     side = lambda c: forms.select(F.col("id").alias(c), F.col("g").alias(f"g_{c}"))
-    met = cand.join(side("a"), "a").join(side("b"), "b").withColumn("similarity", F.round(T.jaccard(F.col("g_a"), F.col("g_b")), 6))
-    return met.where(F.col("similarity") >= floor).select("a", "b", "similarity")
+    both = cand.join(side("a"), "a").join(side("b"), "b").withColumn("similarity", F.round(T.jaccard(F.col("g_a"), F.col("g_b")), 6))
+    return both.where(F.col("similarity") >= floor).select("a", "b", "similarity")
 
 
 def resolve_ladder(new: DataFrame, known: DataFrame, floor: float = 0.7, top: int = 3) -> DataFrame:
@@ -129,15 +123,16 @@ def valid_facts(facts: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataF
     return f.select("source", "target", cap("name", 100), cap("fact", 2000)), kept.select(cap("name", 200), cap("summary", 1200), "group_id")
 
 
-def similar_pairs(rows: DataFrame, ident: str, vec: str, floor: float, keep: list[str] | None = None, tables: int = 24, bits: int = 8, hot: int = 400) -> DataFrame:
+def similar_pairs(rows: DataFrame, ident: str, vec: str, floor: float, keep: list[str] | None = None, tables: int = 24, hot: int = 400) -> DataFrame:
     """a, b, sim (cosine at least `floor`) between ids, a < b.
 
     Equal vectors are one class of their least id. Candidates share a key of random hyperplane signs in one of
-    `tables` tables (at cosine 0.9 a pair is missed with a probability under 1 in 10^4); a key shared by more than
-    `hot` classes is refined by further signs until it is small or its vectors can't be told apart, in which case
-    they are compared with the key's least id only after those equal to it are gone. Verified exactly.
+    `tables` tables, with as many signs as miss a pair at the floor with a probability of about 0.001; below a floor
+    of 0.7 that is little better than comparing all, so such floors are for small tables. Keys shared by more than
+    `hot` classes are refined to twice the signs in four times the tables, which misses as few. Verified exactly.
     """
     keep = keep or []
+    bits = max(2, int(math.log(0.25) / math.log(1 - math.acos(floor) / math.pi)))
     v = rows.where(F.col(vec).isNotNull()).select(F.col(ident).alias("id"), F.col(vec).cast("array<double>").alias("v"), *keep)
     classes = cut(v.groupBy("v", *keep).agg(F.min("id").alias("id")))
     dims = F.size("v")
