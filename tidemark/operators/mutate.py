@@ -119,7 +119,8 @@ def finish(queue: DataFrame, done: DataFrame, now: Column, most: int = 3) -> Dat
 def release_stale(queue: DataFrame, now: Column, minutes: int = 45) -> DataFrame:
     """Claims older than the limit back to pending."""
     old = (F.col("status") == "processing") & (F.col("claimed_at") < now - F.make_interval(mins=F.lit(minutes)))
-    return queue.withColumn("claimed_at", F.when(old, None).otherwise(F.col("claimed_at"))).withColumn("status", F.when(old, "pending").otherwise(F.col("status"))).select(*queue.columns)
+    fresh = {"claimed_at": F.when(~old | old.isNull(), F.col("claimed_at")), "status": F.when(old, "pending").otherwise(F.col("status"))}
+    return queue.select(*(fresh[c].alias(c) if c in fresh else F.col(c) for c in queue.columns))
 
 
 def usage_rollup(registry: DataFrame, fired: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def session_records(rows: DataFrame) -> DataFrame:
     rec = rec.withColumn("opens", is_user & real).where(~is_user | real | has_result)
     sid = F.first("sessionId", ignorenulls=True).over(Window.partitionBy("file"))
     rec = turn_groups(rec.withColumn("session_id", sid).where("session_id is not null"), "session_id", "pos", F.col("opens"))
-    last_text = F.element_at(F.filter("blocks", lambda b: (b["type"] == "text") & (F.trim(F.coalesce(b["text"], b["content"], F.lit(""))) != "")), -1)
+    last_text = F.try_element_at(F.filter("blocks", lambda b: (b["type"] == "text") & (F.trim(F.coalesce(b["text"], b["content"], F.lit(""))) != "")), F.lit(-1))
     said = F.array(F.struct(is_user_kind(is_user).alias("kind"), F.trim(F.coalesce(last_text["text"], last_text["content"])).alias("text"), F.lit(None).cast("string").alias("tool")))
     uses = F.transform(F.filter("blocks", lambda b: b["type"] == "tool_use"), lambda b: F.struct(F.lit("tool").alias("kind"), _detail(b["input"]).alias("text"), F.coalesce(b["name"], F.lit("tool")).alias("tool")))
     results = F.transform(F.filter("blocks", lambda b: b["type"] == "tool_result"), lambda b: F.struct(F.lit("result").alias("kind"), _result_text(b["content"]).alias("text"), F.lit(None).cast("string").alias("tool")))
