@@ -31,7 +31,8 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_windows(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_windows(read(spark, d, "chunks"), "id", "episode_ids").where("n_pieces > 1")
+    out = splitting.split_windows(read(spark, d, "chunks"), "id", "episode_ids").where("n_pieces > 1")
+    return out.withColumn("episode_ids", F.array_join(F.col("episode_ids").cast("array<string>"), ","))
 
 
 RESULTS = ("websearch", "exa_search_deep_researcher_start")
@@ -146,7 +147,7 @@ def oracle_sql():
             with e as (select distinct id, list_filter(episode_ids, lambda x: x is not null) as l from chunks),
             d as (select distinct id, list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda x: list_position(l, x[1]) = x[2]), lambda x: x[1]) as e from e),
             n as (select id, e, ceil((len(e) - 1) / 3.0)::int as n_pieces from d where len(e) > 4)
-            select id, k::int as piece, n_pieces, e[k * 3 + 1 : k * 3 + 4] as episode_ids from n, lateral (select unnest(range(n_pieces)) as k)""",
+            select id, k::int as piece, n_pieces, list_aggregate(e[k * 3 + 1 : k * 3 + 4], 'string_agg', ',') as episode_ids from n, lateral (select unnest(range(n_pieces)) as k)""",
         "p7_daily": f"{rows} select day, kind, source, metric, sign, bucket, count(*) as n from v group by all",
         "p7_percentiles": f"""{rows},
             b as (select kind, source, metric, sign, bucket, count(*) as c from v group by all),
