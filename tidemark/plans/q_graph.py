@@ -9,7 +9,7 @@ from tidemark.operators import mutate as X
 from tidemark.operators import temporal as B
 from tidemark.plans import views as V
 from tidemark.plans.registry import query
-from tidemark.session import read
+from tidemark.session import cut, read
 
 AT = "timestamp_ntz'2000-01-01 00:00:00'"
 E = f"with {V.EDGES}"
@@ -39,7 +39,7 @@ def one_hop_per_seed(spark, d):
     ins as (select e.* from edges e where src_uuid in (select node from kept) and tgt_uuid in (select node from kept) order by not (src_uuid = 's1' or tgt_uuid = 's1'), t_valid desc, uuid limit 500)
     select node, level::int as level, degree from kept where level = 0 or node in (select src_uuid from ins union select tgt_uuid from ins)""")
 def bfs_two_hops(spark, d):
-    nodes, _ = G.neighbours(V.edges(spark, d), "s1")
+    nodes, _ = G.neighbours(cut(V.edges(spark, d)), "s1")  # several passes over one view
     return nodes.select("node", F.col("level").cast("int").alias("level"), "degree")
 
 
