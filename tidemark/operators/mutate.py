@@ -147,3 +147,65 @@ def merge_retold(events: DataFrame, retold: DataFrame) -> DataFrame:
     r = retold.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min("t_valid").alias("_t"))
     out = events.join(r, "id", "left").withColumn("reported_count", F.col("reported_count") + F.coalesce("_n", F.lit(0)).cast("int"))
     return out.withColumn("t_valid", F.least("t_valid", "_t")).select(*events.columns)
+
+
+def enqueue_web_chunks(chunks: DataFrame, artifacts: DataFrame, queue: DataFrame, since: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(queue rows, one row of counts): embedded chunks of scraped pages and briefs that aren't queued, one artifact
+    per content hash, at least 200 characters and at most 60 % links."""
+    from tidemark.functions.text import link_density
+
+    kinds = artifacts.where(F.col("kind").isin("web_scrape", "research_brief"))
+    if since is not None:
+        kinds = kinds.where(F.col("fetched_at") >= since)
+    least = artifacts.where("content_hash is not null").groupBy("content_hash").agg(F.min("id").alias("_keep"))
+    kinds = kinds.join(least, "content_hash", "left").where("content_hash is null or id = _keep").select(F.col("id").alias("web_artifact_id"), "session_id")
+    cand = chunks.where("context_prefix is not null").join(kinds, "web_artifact_id").join(queue.select(F.col("web_chunk_id").alias("id")), "id", "left_anti")
+    why = F.when(F.length("content") < 200, "small").when(link_density(F.col("content")) > 0.60, "links").otherwise("in")
+    cand = cand.select("id", "session_id", "content", why.alias("why"))
+    counts = cand.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("why") == "in").alias("enqueued"), F.count_if(F.col("why") == "small").alias("skipped_too_small"), F.count_if(F.col("why") == "links").alias("skipped_link_density"))
+    rows = cand.where("why = 'in'").select(F.col("id").alias("web_chunk_id"), "session_id", "content", F.lit("web_chunk").alias("content_type"), F.lit(5).alias("priority"), F.lit("pending").alias("status"))
+    return rows, counts
+
+
+def push_events(stored: DataFrame, pushed: DataFrame) -> DataFrame:
+    """Events to insert: new (source, source_ref), the first of each in the push; salience 1 and the domain of their
+    source (git is technical) where none is given."""
+    rows = last_of(pushed, ["source", "source_ref"], [F.col("t_valid"), F.col("fact")]).join(stored.select("source", "source_ref"), ["source", "source_ref"], "left_anti")
+    domain = F.when(F.col("domain").isin("personal", "technical"), F.col("domain")).when(F.col("source").startswith("git:"), "technical")
+    return rows.withColumn("salience", F.coalesce("salience", F.lit(1))).withColumn("domain", domain)
+
+
+def remember(said: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(notes, episodes, queue items) of statements to keep (id, content, hook, body, type, project, session_id): the
+    hook is derived where there is none, the statement is also kept as a manual episode and queued for extraction."""
+    from tidemark.functions.text import hook
+
+    body = F.coalesce(F.nullif("body", F.lit("")), F.col("content"))
+    n = said.select("id", F.coalesce(F.nullif("hook", F.lit("")), hook(F.col("content"))).alias("hook"), body.alias("body"), F.coalesce("type", F.lit("project")).alias("type"), "project", now.alias("created_at"))
+    e = said.select(F.coalesce("session_id", F.concat(F.lit("manual-"), F.col("id").cast("string"))).alias("session_id"), F.lit("manual").alias("source"), F.col("content"), "project", now.alias("created_at"))
+    return n, e, e.select("session_id", "content", F.lit("manual").alias("content_type"), F.lit("pending").alias("status"), F.lit(0).alias("priority"))
+
+
+def feedback_rows(said: DataFrame) -> DataFrame:
+    """Feedback (query, helpful, noise, missing, found_via) that is valid: a query, and only ids as they are served.
+    found_via is collapsed to 60 characters."""
+    from tidemark.functions.text import served_id
+
+    empty = F.array().cast("array<string>")
+    good = lambda c: F.forall(F.coalesce(c, empty), served_id)
+    rows = said.where((F.trim(F.coalesce("query", F.lit(""))) != "") & good(F.col("helpful")) & good(F.col("noise")))
+    via = F.nullif(F.substring(F.trim(F.regexp_replace(F.coalesce("found_via", F.lit("")), r"\s+", " ")), 1, 60), F.lit(""))
+    return rows.select(F.trim("query").alias("query"), F.coalesce("helpful", empty).alias("helpful"), F.coalesce("noise", empty).alias("noise"), "missing", via.alias("found_via"))
+
+
+def write_edges(old: DataFrame, new: DataFrame, closures: DataFrame, now: Column) -> DataFrame:
+    """Edges after a write plan: closures (uuid, at, by) applied, new edges inserted once. A new edge that is itself
+    contradicted by a newer one comes closed, since its closure is applied after the insert."""
+    from tidemark.operators.temporal import close
+
+    return close(insert_ignore(old, new, ["uuid"], ["uuid"]), closures, now)
+
+
+def saturated(counts: DataFrame, rounds: int, most: int = 8, least: int = 4) -> DataFrame:
+    """Facts (id, contradictions) whose last round found enough contradictions to look again, while rounds are left."""
+    return counts.where(F.lit(rounds < most) & (F.col("contradictions") >= least)).select("id")

@@ -46,8 +46,8 @@ def gap_arcs(spark, d):
     return S.gap_arcs(rows, ["user_id"], "minute", 600, "value", "event_id").withColumn("score", F.round("score", 4))
 
 
-@query(f"""with {V.EPISODES}, r as (select session_id, sequence, id, lead(human_turn) over (partition by session_id order by sequence, id) as next from episodes_)
-    select session_id, sequence, id from r where length(regexp_replace(trim(coalesce(next, '')), '\\S', '', 'g')) - 0 >= 0 and len(regexp_split_to_array(lower(trim(coalesce(next, ''))), '\\s+')) <= 12 and regexp_matches(lower(trim(coalesce(next, ''))), '^(?:no|nope|not|don''?t|stop|wrong|cancel|undo|skip)\\b')""")
+@query(f"""with {V.EPISODES}, r as (select session_id, sequence, id, lower(trim(coalesce(lead(human_turn) over (partition by session_id order by sequence, id), ''))) as next from episodes_)
+    select session_id, sequence, id from r where len(list_filter(regexp_split_to_array(next, '\\s+'), lambda x: x <> '')) between 1 and 12 and regexp_matches(next, '{M.REJECT.replace("'", "''")}')""")
 def lead_dismissal(spark, d):
     rows = V.episodes(spark, d).select("session_id", "sequence", "id", F.lead("human_turn").over(Window.partitionBy("session_id").orderBy("sequence", "id")).alias("next"))
     return rows.where(M.dismissed(F.col("next"))).select("session_id", "sequence", "id")
@@ -128,6 +128,6 @@ def command_fingerprints(spark, d):
     return M.fingerprints(V.episodes(spark, d))
 
 
-@query(f"with {V.EPISODES} select id, left(case when regexp_extract(t, '^(.*?[.!?])(?:\\s|$)', 1) = '' then t else regexp_extract(t, '^(.*?[.!?])(?:\\s|$)', 1) end, 120) as hook from (select id, regexp_replace(regexp_replace(human_turn, '\\s+', ' ', 'g'), '^ +| +$', '', 'g') as t from episodes_ where human_turn is not null)")
+@query(f"with {V.EPISODES}, l as (select id, regexp_extract(regexp_replace(human_turn, '^\\s+|\\s+$', '', 'g'), '^([^\\r\\n]*)', 1) as t from episodes_ where human_turn is not null) select id, left(case when regexp_extract(t, '^(.*?[.!?])(?:\\s|$)', 1) = '' then t else regexp_extract(t, '^(.*?[.!?])(?:\\s|$)', 1) end, 120) as hook from l")
 def derived_hook(spark, d):
     return V.episodes(spark, d).where("human_turn is not null").select("id", T.hook(F.col("human_turn")).alias("hook"))
