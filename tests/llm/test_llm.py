@@ -97,7 +97,7 @@ def test_residue(spark):
     ("call +44 7700 900123", {"phone"}), ("call zero seven seven zero zero nine zero zero one two three", {"phone"}), ("call (212) 555-0164 today", {"phone"}), ("tel=0049 (0)30 23125823&x", {"phone"}), ("030/23125-131", {"phone"}),
     ("order no. 7565922885 match", set()), ("Epoch 1758398525", set()), ("192.0.2.192", set()), ("port 5515-5616", set()), ("version 2026.03.876-3993", set()), ("package x@1.2.6 pulls", set()), ("@glet.cached", set()), ("2026-05-29 00:18:51", set()),
     ("SSN 968-10-7590", {"id_number"}), ("IBAN DE00 9999 1423 6720 1442 68.", {"id_number"}), ("Steuer-ID 00 210 509 190", {"id_number"}), ("passport no. X22K82841", {"id_number"}), ("Invoice 8885-34-1193", set()),
-    ("at 233 Sathimei Lane, Nordfelde", {"street_address"}), ("Calle Mande 4, 5º B, Puerto", {"street_address"}), ("Meiluweg 58, 52919 Quellbrück", {"street_address"}), ("12 rue de Hendo, 93230 Larkenby", {"street_address"}), ("the Silver Lane cluster", set()), ("The Main Street layer has 46 tiles", set()),
+    ("at 233 Sathimei Lane, Nordfelde", {"street_address"}), ("Calle Mande 4, 5º B, Puerto", {"street_address"}), ("Meiluweg 58, 52919 Quellbrück", {"street_address"}), ("12 rue de Hendo, 93230 Larkenby", {"street_address"}), ("the Silver Lane cluster", set()), ("The Main Street layer has 46 tiles", set()), ("42 The Main Street layer", set()),
     ("I met Milo Felkbury", {"person_name"}), ("Felkbury, Milo said", {"person_name"}), ("Frau Lindsky", {"person_name"}), ("Maret K. Grimm", {"person_name"}), ("Milo left", set()), ("Project Night Heron", set()), ("milo.felkbury@x.example", {"email"}),
 ])
 def test_kinds(text, kinds):
@@ -200,6 +200,31 @@ def test_survivors(spark):
     assert survivors.suppliers(df.limit(0)).count() == 0
 
 
+def test_fusion_discounts_copies(spark):
+    rng = random.Random(7)
+    rows = []
+    for o in range(120):
+        truth = f"t{o}"
+        for s, right in (("a", 0.9), ("b", 0.9), ("c", 0.85)):
+            rows.append((o, "f", s, truth if rng.random() < right else f"x{rng.randrange(20)}"))
+        wrong = f"w{o}" if rng.random() < 0.6 else truth
+        rows += [(o, "f", s, wrong) for s in ("k1", "k2", "k3", "k4")]  # one says it, three repeat it
+    df = spark.createDataFrame(rows, "obj long, field string, source string, value string")
+    got = {r.obj: r.value for r in survivors.fuse(df).collect()}
+    assert sum(got[o] == f"t{o}" for o in got) / len(got) > 0.85
+    most = {}
+    for o, _, _, v in rows:
+        most.setdefault(o, []).append(v)
+    assert sum(max(set(v), key=v.count) == f"t{o}" for o, v in most.items()) / len(most) < 0.6
+    assert survivors.fuse(df.limit(0)).count() == 0
+
+
+def test_fragments(spark):
+    rows = [(1, "s", 1, "p", "q1", "a1", 0), (2, "s", 2, "p", "q2", "a2", 0), (3, "s", 2, "p", "q2 ", "a2", 1), (4, "s", 3, "p", "q3", "a3", 1), (5, "s", 3, "p", "q3", "other", 2)]
+    got = {r.batch_no: tuple(r)[2:] for r in conversations.fragments(eps(spark, rows)).collect()}
+    assert got == {0: (1, 2, 2, 0, 0), 1: (2, 3, 2, 1, 0), 2: (3, 3, 1, 0, 1)}
+
+
 # ---- 7 percentiles
 def test_percentiles_bound_and_merge(spark):
     rng = np.random.default_rng(0)

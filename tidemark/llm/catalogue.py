@@ -21,6 +21,10 @@ def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(read(spark, d, "episodes"))
 
 
+def p1_fragments(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.fragments(read(spark, d, "episodes"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(read(spark, d, "web_chunks"), read(spark, d, "chunks"))
 
@@ -35,6 +39,10 @@ def p2_windows(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("episode_ids", F.array_join(F.col("episode_ids").cast("array<string>"), ","))
 
 
+def p6_fused(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.fused(read(spark, d, "notes"))
+
+
 RESULTS = ("websearch", "exa_search_deep_researcher_start")
 
 

@@ -107,6 +107,26 @@ def session_paths(episodes: DataFrame) -> DataFrame:
     return out.withColumn("complete", ~(F.col("late_start") | F.col("gap") | F.col("branch") | F.col("unanswered") | F.col("unplaced")))
 
 
+def fragments(episodes: DataFrame) -> DataFrame:
+    """The export fragments of each session and how they overlap: session_id, batch_no, from_sequence, to_sequence,
+    messages, shared (nodes an earlier batch already had), conflicting (layers where an earlier batch has another node).
+
+    A fragment is what one batch holds of a session. It continues the path if its shared nodes are its first ones
+    (suffix of before = prefix of this), which holds where shared + conflicting = 0 or from_sequence was there before.
+    Every node is aggregated to the batches that hold it, so no two fragments are compared directly.
+    """
+    rows = episodes.where(F.col("session_id").isNotNull()).select(
+        "session_id", F.col("sequence").cast("int").alias("sequence"), F.coalesce("batch_no", F.lit(0)).alias("batch_no"), F.xxhash64(squeezed(F.col("human_turn")), squeezed(F.col("assistant_turn"))).alias("node")
+    ).distinct()
+    first = rows.groupBy("session_id", "sequence", "node").agg(F.min("batch_no").alias("node_since"))
+    layer = first.groupBy("session_id", "sequence").agg(F.min("node_since").alias("layer_since"))
+    met = rows.join(first, ["session_id", "sequence", "node"]).join(layer, ["session_id", "sequence"])
+    shared, other = F.col("node_since") < F.col("batch_no"), F.col("layer_since") < F.col("batch_no")
+    return met.groupBy("session_id", "batch_no").agg(
+        F.min("sequence").alias("from_sequence"), F.max("sequence").alias("to_sequence"), F.count(F.lit(1)).alias("messages"), F.count_if(shared).alias("shared"), F.count_if(other & ~shared).alias("conflicting")
+    )
+
+
 def broken_sessions(episodes: DataFrame) -> DataFrame:
     """session_id of each session to drop."""
     return session_paths(episodes).where(~F.col("complete")).select("session_id")

@@ -112,7 +112,7 @@ def _gibberish(unit: str) -> bool:
     ws = re.findall(r"[^\W\d_]+", unit.lower())
     if len(ws) < 8:
         return len(ws) >= 4 and len(set(ws)) == 1
-    return len(set(ws)) <= max(2, len(ws) // 6) or (len(ws) >= 15 and not any(w in _GLUE for w in ws))
+    return len(set(ws)) <= max(2, len(ws) // 6) or (len(ws) >= 15 and sum(w in _GLUE for w in ws) < 0.1 * len(ws))
 
 
 def skeleton(unit: str) -> str:
