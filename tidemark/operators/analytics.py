@@ -21,7 +21,7 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int) -> Dat
     b = F.expr(f"width_bucket(cast({value} as double), {lo}D, {hi}D, {bins})")
     got = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.greatest(F.lit(0), F.least(F.lit(bins - 1), b - 1)).cast("int").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return frame.join(F.broadcast(got), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+    return frame.join(got, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def sparkline(df: DataFrame, ts: str, last_day: Column, days: int = 30) -> DataFrame:

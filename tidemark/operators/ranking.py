@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.session import attach
 
 K1, B = 1.2, 0.75
 
@@ -26,7 +27,7 @@ def bm25(docs: DataFrame, id_col: str, text: str, query: str, k: int = 100, k1:
     """id, score, rank of the k best documents for the terms of a query; any term may match.
 
     One scan: term frequencies of the few query terms and the length of each document come out of array expressions,
-    document frequencies and the mean length are one aggregate row, broadcast by its known size. A query without a
+    document frequencies and the mean length are one aggregate row, a scalar subquery. A query without a
     letter or digit has no result.
     """
     terms = sorted(set(re.findall(r"[a-z0-9]+", query.lower())))
@@ -38,11 +39,11 @@ def bm25(docs: DataFrame, id_col: str, text: str, query: str, k: int = 100, k1:
     stats = toks.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(terms))))
     parts = []
     for i in range(len(terms)):
-        f, d = F.col(f"_f{i}"), F.col(f"_d{i}")
-        idf = F.log(1 + (F.col("_n") - d + 0.5) / (d + 0.5))
-        parts.append(idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_len") / F.col("_avg"))))
+        f, d = F.col(f"_f{i}"), F.col(f"_s._d{i}")
+        idf = F.log(1 + (F.col("_s._n") - d + 0.5) / (d + 0.5))
+        parts.append(idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_len") / F.col("_s._avg"))))
     hit = reduce(lambda x, y: x | y, (F.col(f"_f{i}") > 0 for i in range(len(terms))))
-    scored = toks.where(hit).crossJoin(F.broadcast(stats)).withColumn("score", F.round(reduce(lambda x, y: x + y, parts), 6))
+    scored = attach(toks.where(hit), stats, "_s").withColumn("score", F.round(reduce(lambda x, y: x + y, parts), 6))
     top = scored.select(id_col, "score").orderBy(F.desc("score"), id_col).limit(k)
     return ranked(top, F.desc("score"), F.col(id_col))
 
@@ -59,9 +60,9 @@ def bm25_batch(index: DataFrame, stats: DataFrame, queries: DataFrame, id_col: s
     The index is met by an equi-join on the term; scores are summed map-side before the per-query top k.
     """
     df = index.join(queries.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = index.join(queries.distinct(), "term").join(df, "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
+    hits = attach(index.join(queries.distinct(), "term").join(df, "term"), stats, "s")
+    idf = F.log(1 + (F.col("s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("s.avg")))
     scored = hits.groupBy("query_id", id_col).agg(F.round(F.sum(part), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)

@@ -133,4 +133,4 @@ def raised_since(rows: DataFrame, since: Column, n: int = 5) -> DataFrame:
     w = Window.orderBy(F.desc("updated_at"), "id")
     fresh = rows.where((F.col("status") == "proposed") & (F.col("updated_at") >= since))
     total = fresh.agg(F.count(F.lit(1)).alias("total"))
-    return fresh.orderBy(F.desc("updated_at"), "id").limit(n).withColumn("n", F.row_number().over(w)).crossJoin(F.broadcast(total))  # one row
+    return fresh.orderBy(F.desc("updated_at"), "id").limit(n).withColumn("n", F.row_number().over(w)).withColumn("total", total.scalar())

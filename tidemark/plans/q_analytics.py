@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import analytics as A
 from tidemark.plans import views as V
 from tidemark.plans.registry import query
-from tidemark.session import read
+from tidemark.session import attach, read
 
 NOW = "2026-09-01 00:00:00"
 
@@ -118,7 +118,7 @@ def board_order(spark, d):
 def pending_badge(spark, d):
     a = read(spark, d, "orders").agg(F.count_if(F.col("o_orderstatus") == "P").alias("a"))
     b = read(spark, d, "events").agg(F.count_if(F.col("event_type") == "error").alias("b"))
-    return a.crossJoin(b).select((F.col("a") + F.col("b")).alias("pending"))  # one row each
+    return attach(a, b, "b").select((F.col("a") + F.col("b.b")).alias("pending"))
 
 
 @query(f"with {METRICS} select kind, sum(coalesce(chars, 0))::bigint as chars, floor(sum(coalesce(chars, 0)) / 4)::bigint as est_tokens, count(*) filter (where rerank_top_score < 0.58 and rerank_top_score > 0) as would_abstain from m group by 1")

@@ -11,7 +11,7 @@ from tidemark.operators import resolve as R
 from tidemark.operators import temporal as B
 from tidemark.plans import views as V
 from tidemark.plans.registry import query
-from tidemark.session import read
+from tidemark.session import attach, read
 
 NORM = "regexp_replace(regexp_replace(lower({0}), '\\s+', ' ', 'g'), '^[\\s.,;:!?\"''()\\[\\]{{}}<>]+|[\\s.,;:!?\"''()\\[\\]{{}}<>]+$', '', 'g')"
 
@@ -75,7 +75,7 @@ def vector_pairs(spark, d):
 def gate_decisions(spark, d):
     e = read(spark, d, "embeddings")
     probe = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return e.crossJoin(F.broadcast(probe)).select(F.col("vec_id").alias("id"), B.gate(Vc.cosine(F.col("embedding"), F.col("q"))).alias("decision"))  # one probe row
+    return attach(e, probe, "p").select(F.col("vec_id").alias("id"), B.gate(Vc.cosine(F.col("embedding"), F.col("p.q"))).alias("decision"))
 
 
 @query("""with p as (select vec_id as pref_id, label, embedding::double[] as v from embeddings where vec_id < 20), n as (select vec_id as id, label, embedding::double[] as v from embeddings where vec_id >= 20),
@@ -85,7 +85,8 @@ def pref_action(spark, d):
     e = read(spark, d, "embeddings").withColumn("polarity", F.when(F.col("label") % 2 == 0, "like").otherwise("dislike"))
     old = e.where("vec_id < 20").orderBy("vec_id").limit(20).select(F.col("vec_id").alias("pref_id"), F.col("polarity").alias("polarity_old"), F.col("embedding").alias("w"))
     new = e.where("vec_id >= 20").select(F.col("vec_id").alias("id"), "polarity", "embedding")
-    pairs = new.crossJoin(F.broadcast(old)).select("id", "pref_id", "polarity_old", "embedding", "w")  # live set of one owner: 20 rows
+    live = old.agg(F.collect_list(F.struct("pref_id", "polarity_old", "w")).alias("all"))  # the live set of one owner, 20 rows
+    pairs = attach(new, live, "live").select("id", "embedding", F.explode("live.all").alias("o")).select("id", "o.pref_id", "o.polarity_old", "embedding", "o.w")
     return B.pref_action(new, pairs, Vc.cosine(F.col("embedding"), F.col("w")), 0.3, 0.2)
 
 

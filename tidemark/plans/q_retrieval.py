@@ -9,7 +9,7 @@ from tidemark.operators import ranking as R
 from tidemark.plans import retrieve
 from tidemark.plans import views as V
 from tidemark.plans.registry import query
-from tidemark.session import read
+from tidemark.session import attach, read
 
 TERMS = ["compost", "heap", "lawn"]
 BM25 = """t as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as tok from documents), l as (select doc_id, len(tok) as len, tok from t), s as (select count(*) as n, avg(len) as avg from l),
@@ -27,7 +27,7 @@ def _lexical(spark, d):
 def _vector(spark, d):
     e = read(spark, d, "embeddings")
     probe = e.where("vec_id = 7").select(F.col("embedding").alias("q"))
-    rows = e.crossJoin(F.broadcast(probe)).select(F.col("vec_id").alias("doc_id"), F.round(Vc.cosine(F.col("embedding"), F.col("q")), 6).alias("sim"))  # one probe row
+    rows = attach(e, probe, "p").select(F.col("vec_id").alias("doc_id"), F.round(Vc.cosine(F.col("embedding"), F.col("p.q")), 6).alias("sim"))
     return R.ranked(rows.orderBy(F.desc("sim"), "doc_id").limit(100), F.desc("sim"), F.col("doc_id")).withColumn("rank", F.col("rank").cast("int"))
 
 
@@ -58,7 +58,7 @@ def vector_topk(spark, d):
 def vector_threshold(spark, d):
     e = read(spark, d, "embeddings")
     probe = e.where("vec_id = 7").select(F.col("embedding").alias("q"))
-    rows = e.crossJoin(F.broadcast(probe)).select(F.col("vec_id").alias("doc_id"), F.round(Vc.cosine(F.col("embedding"), F.col("q")), 6).alias("sim"))  # one probe row
+    rows = attach(e, probe, "p").select(F.col("vec_id").alias("doc_id"), F.round(Vc.cosine(F.col("embedding"), F.col("p.q")), 6).alias("sim"))
     return rows.where(1 - F.col("sim") <= 0.8)
 
 

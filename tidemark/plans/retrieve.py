@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.functions import vectors as Vc
 from tidemark.operators import ranking as R
-from tidemark.session import read
+from tidemark.session import attach, read
 
 #: A scorer takes the candidates with a text column and a query and adds `rerank`. The default is lexical.
 Scorer = Callable[[DataFrame, str, str], DataFrame]
@@ -50,8 +50,8 @@ def recall(
     lex = R.bm25(docs, "doc_id", "text", T_clean(query), k=100)
     e = read(spark, d, "embeddings")
     q = e.where(F.col("vec_id") == probe).select(F.col("embedding").alias("q"))
-    near = e.crossJoin(F.broadcast(q)).join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")  # one probe row
-    near = near.select(F.col("vec_id").alias("doc_id"), Vc.cosine(F.col("embedding"), F.col("q")).alias("sim")).orderBy(F.desc("sim"), "doc_id").limit(100)
+    near = attach(e.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi"), q, "probe")
+    near = near.select(F.col("vec_id").alias("doc_id"), Vc.cosine(F.col("embedding"), F.col("probe.q")).alias("sim")).orderBy(F.desc("sim"), "doc_id").limit(100)
     vec = R.ranked(near, F.desc("sim"), F.col("doc_id"))
     fused = R.rrf([lex.select("doc_id", "rank"), vec.select("doc_id", "rank")], "doc_id").orderBy(F.desc("score"), "doc_id").limit(100)
     pool = fused.join(docs.select("doc_id", "text", "session_id", "created_at"), "doc_id").join(lex.select("doc_id", F.col("score").alias("bm25_score")), "doc_id", "left")

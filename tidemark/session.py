@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", shuffle: int = 8, memory: str = "8g") -> SparkSession:
@@ -59,5 +60,10 @@ def local_path(uri: str) -> str:
     return uri[7:] if uri.startswith("file://") else uri[5:] if uri.startswith("file:") else uri
 
 
+def attach(df: DataFrame, one: DataFrame, name: str) -> DataFrame:
+    """df with the single row of `one` as a struct column: a scalar subquery, evaluated once."""
+    return df.withColumn(name, one.select(F.struct("*")).scalar())
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
