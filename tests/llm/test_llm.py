@@ -300,6 +300,20 @@ def test_subjects_held_out(spark):
 
 
 # ---- catalogue
+def test_catalogue_stands_nulls_everywhere(spark, tmp_path):
+    """Every column of every row null, besides real rows and a column too many."""
+    for t in ("episodes", "chunks", "web_chunks", "notes", "recall_metrics", "websearch", "exa_search_deep_researcher_start", "documents", "subjects", "subject_labels", "mix_targets"):
+        df = read(spark, D, t)
+        none = df.limit(3).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema))
+        both = df.unionByName(none)
+        for extra in ("key", "value", "bin", "node", "piece", "kind_", "at", "n"):
+            both = both if extra in both.columns else both.withColumn(extra, F.lit("clash"))
+        both.write.parquet(str(tmp_path / f"{t}.parquet"))
+    for name, q in catalogue.queries().items():
+        want, got = q(spark, D).count(), q(spark, str(tmp_path)).count()
+        assert abs(want - got) <= max(4, 0.02 * want), name
+
+
 def test_catalogue_runs_on_empty_tables(spark, tmp_path):
     for t in ("episodes", "chunks", "web_chunks", "notes", "recall_metrics", "websearch", "exa_search_deep_researcher_start", "documents", "subjects", "subject_labels", "mix_targets"):
         read(spark, D, t).limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))

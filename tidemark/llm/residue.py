@@ -156,7 +156,7 @@ def residue(tables: dict[str, DataFrame]) -> DataFrame:
     """result_table, result_id, kind of each result that is residue. Null and blank texts are none; a redelivered row
     counts once. Results without any unit (only marks) are none."""
     rows = reduce(DataFrame.unionByName, (t.select(F.lit(n).alias("result_table"), "result_id", "result_text") for n, t in tables.items()))
-    rows = rows.where(F.length(F.trim(F.regexp_replace("result_text", r"[\s\p{Z}\p{Cf}]+", " "))) > 0).dropDuplicates(["result_table", "result_id"])
+    rows = rows.where(F.col("result_id").isNotNull()).where(F.length(F.trim(F.regexp_replace("result_text", r"[\s\p{Z}\p{Cf}]+", " "))) > 0).dropDuplicates(["result_table", "result_id"])
     pages = cut(_pages(rows))
 
     def induce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -137,9 +137,9 @@ def split_texts(df: DataFrame, id_col: str, text: str, start: str | None = None,
 
     Offsets are in the item; where `start` names a column with its place in the page, page_start is that place plus
     the piece's (null where it is null). Items within the limit pass through in the JVM as one piece; only oversized
-    ones go to Python. Null and blank texts have no piece. A redelivered row counts once.
+    ones go to Python. Null and blank texts and rows without an id have no piece. A redelivered row counts once.
     """
-    base = df.select(F.col(id_col).alias("id"), F.col(text).alias("content"), (F.col(start) if start else F.lit(None)).cast("long").alias("at")).distinct()
+    base = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("content"), (F.col(start) if start else F.lit(None)).cast("long").alias("at")).distinct()
     base = base.withColumn("_t", F.expr(r"trim(BOTH ' \t\r\n' FROM content)")).where(F.length("_t") > 0)
     small = base.where(F.length("_t") <= limit)
     lead = F.length("content") - F.length(F.expr(r"ltrim(' \t\r\n', content)"))
@@ -167,7 +167,7 @@ def split_windows(df: DataFrame, id_col: str, ids: str, limit: int = 4, overlap:
 
     Null elements are dropped, repeated ones kept once at their first place. id, piece, n_pieces, episode_ids.
     """
-    clean = df.select(F.col(id_col).alias("id"), F.array_distinct(F.array_compact(F.col(ids))).alias("e")).distinct().where(F.size("e") > 0)
+    clean = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.array_distinct(F.array_compact(F.col(ids))).alias("e")).distinct().where(F.size("e") > 0)
     step = limit - overlap
     n = F.greatest(F.lit(1), F.ceil((F.size("e") - overlap) / F.lit(step))).cast("int")
     return clean.withColumn("n_pieces", n).select(

@@ -252,4 +252,4 @@ def assign(documents: DataFrame, model: Model, share: float = SHARE) -> DataFram
             rows = [(i, m.subjects[s], v) for i, t in zip(pdf["doc_id"], pdf["text"]) for s, v in m.shares(t).items() if v >= share]
             yield pd.DataFrame(rows, columns=["doc_id", "subject", "share"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, subject string, share double").distinct()
+    return documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, subject string, share double").distinct()
