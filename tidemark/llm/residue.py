@@ -17,11 +17,14 @@ Both tables of counts are aggregates over all results; no result is compared wit
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
+from re import _constants as code
+from re import _parser as parser
 
+import ahocorasick
 import pandas as pd
-import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,12 +77,68 @@ SCRIPTS = [
     r"^(?:\S+ ){0,12}javascript(?: \S+){0,8}$", r"\b(?:enable|turn on|activate|allow|switch on|requires?|needs?)\b.{0,20}\b(?:javascript|js|scripts|scripting|cookies)\b", r"\bjavascript\b.{0,40}\b(?:enabled|disabled|required|aktivieren|off|must|is)\b", r"\b(?:aktivieren|activez|activer|active|habilite|activar)\b.{0,20}\b(?:javascript|scripts?|cookies)\b",
     r"\b(?:scripting|scripts?|javascript) (?:switched|turned|is|are) (?:off|disabled)\b", r"\bneeds? scripts? to run\b", r"\bcookies must be (?:allowed|enabled)\b", r"^checking your browser\b", r"^verify(?:ing)? you are (?:a )?human\b", r"\bif you use (?:a|an) (?:ad ?)?blocker\b", r"\bone moment\W*$", r"\brequires js\b",
 ]
-#: Reporting words: a unit with one of these talks about such text.
-REPORT = re.compile(
-    r"\b(?:explains?|recommends?|lists? the|counts? how|should be caught|the guide|the author|the article|der artikel|erklärt|el artículo|explica|l'article|explique|study|studie|estudio|made up|visitors with|como|measured|typesetters|came to use|"
-    r"rewrote|gestaltet|samples|examples? from|archived pages|for mail merges|says|said|sagt|schreibt .{0,30}dass|dice|wrote|describes?|beschreibt|describe|chapter|section (?:explains|shows|on)|rate of|per (?:cent|mille)|tutorial|documents? how|teaches|mentions?|quotes?|zitiert|cita)\b"
-)
-_FILLER, _ERRORS, _SCRIPTS = (re.compile("|".join(f"(?:{p})" for p in ps)) for ps in (FILLER, ERRORS, SCRIPTS))
+# Reporting words; a unit with one of these talks about such text.
+REPORT = [
+    r"\bexplains?\b", r"\brecommends?\b", r"\blists? the\b", r"\bcounts? how\b", r"\bshould be caught\b", r"\bthe guide\b", r"\bthe author\b", r"\bthe article\b",
+    r"\bder artikel\b", r"\berklärt\b", r"\bel artículo\b", r"\bexplica\b", r"\bl'article\b", r"\bexplique\b", r"\bstudy\b", r"\bstudie\b", r"\bestudio\b", r"\bmade up\b",
+    r"\bvisitors with\b", r"\bcomo\b", r"\bmeasured\b", r"\btypesetters\b", r"\bcame to use\b", r"\brewrote\b", r"\bgestaltet\b", r"\bsamples\b", r"\bexamples? from\b",
+    r"\barchived pages\b", r"\bfor mail merges\b", r"\bsays\b", r"\bsaid\b", r"\bsagt\b", r"\bschreibt .{0,30}dass\b", r"\bdice\b", r"\bwrote\b", r"\bdescribes?\b",
+    r"\bbeschreibt\b", r"\bdescribe\b", r"\bchapter\b", r"\bsection (?:explains|shows|on)\b", r"\brate of\b", r"\bper (?:cent|mille)\b", r"\btutorial\b",
+    r"\bdocuments? how\b", r"\bteaches\b", r"\bmentions?\b", r"\bquotes?\b", r"\bzitiert\b", r"\bcita\b",
+]
+
+
+def literals(pattern) -> set[str] | None:
+    """Strings one of which every match of a parsed pattern contains; None if it has none of two characters or more."""
+    best: set[str] | None = None
+    run = ""
+
+    def offer(s: set[str] | None) -> None:
+        nonlocal best
+        if s and min(map(len, s)) >= 2 and (best is None or min(map(len, s)) > min(map(len, best))):
+            best = s
+
+    for op, arg in [*pattern, (None, None)]:
+        if op is code.LITERAL:
+            run += chr(arg)
+            continue
+        offer({run})
+        run = ""
+        if op is code.SUBPATTERN:
+            offer(literals(arg[3]))
+        elif op is code.BRANCH:
+            each = [literals(x) for x in arg[1]]
+            offer(None if None in each else set().union(*each))
+        elif op in (code.MAX_REPEAT, code.MIN_REPEAT) and arg[0] > 0:
+            offer(literals(arg[2]))
+    return best
+
+
+class Screen:
+    """Whether one of many patterns is in a text; only those are tried whose literals an automaton finds in it."""
+
+    def __init__(self, patterns: list[str]):
+        self.patterns = [re.compile(p) for p in patterns]
+        self.always, by = [], {}
+        for i, p in enumerate(patterns):
+            need = literals(parser.parse(p))
+            if need is None:
+                self.always.append(i)
+            for x in need or ():
+                by.setdefault(x, set()).add(i)
+        self.auto = ahocorasick.Automaton()
+        for x, ids in by.items():
+            self.auto.add_word(x, tuple(ids))
+        self.auto.make_automaton()
+
+    def search(self, text: str) -> bool:
+        tried = set(self.always)
+        for _, ids in self.auto.iter(text):
+            tried.update(ids)
+        return any(self.patterns[i].search(text) for i in tried)
+
+
+_FILLER, _ERRORS, _SCRIPTS, _REPORT = Screen(FILLER), Screen(ERRORS), Screen(SCRIPTS), Screen(REPORT)
 #: Units that say nothing by themselves: numbers, ids, hosts with a few words.
 _NEUTRAL = re.compile(r"^\W*\d+\W*$|^(?=.*\b(?:[0-9a-f]{8,}|[\w\-]+\.(?:example|invalid|test|com|org|net|io|dev)|\d{1,3}(?:\.\d{1,3}){3})\b)(?:\S+\s*){1,9}$", re.I)
 _LOREM = re.compile(r"\blorem\b.{0,10}\bipsum\b")
@@ -124,13 +183,13 @@ def judge(unit: str, aligned: frozenset[str] | set[str] = frozenset()) -> str:
     low = unit.lower()
     n = len(_SLOT.findall(unit))
     bare = re.sub(r"[\W_]+", "", _SLOT.sub("", unit))
-    if (n >= 2 and not (REPORT.search(low) and n < 3 and not unit.startswith(("Über", "In ", "Dear")))) or (n == 1 and len(bare) < 4):
+    if (n >= 2 and not (_REPORT.search(low) and n < 3 and not unit.startswith(("Über", "In ", "Dear")))) or (n == 1 and len(bare) < 4):
         return "slot"
     if aligned and (s := skeleton(unit)).count("¤") >= 2 and s in aligned:
         return "slot"
     if _gibberish(unit) or _LOREM.match(low):
         return "filler"
-    if REPORT.search(low) and len(low) > 40:
+    if _REPORT.search(low) and len(low) > 40:
         return ""
     return "filler" if _FILLER.search(low) else "script" if _SCRIPTS.search(low) else "error" if _ERRORS.search(low) else "neutral" if _NEUTRAL.search(unit) else ""
 
