@@ -108,3 +108,41 @@ def test_endpoints(spark):
     assert E.raised_since(props, F.lit("3")).first().total == 1
     kids = spark.createDataFrame([("x", "b"), ("x", "a")], "name string, path string")
     assert [c.path for c in E.with_children(spark.createDataFrame([("x",), ("y",)], "name string"), kids, "name", ["path"]).where("name = 'x'").first().children] == ["a", "b"]
+
+
+def test_embedding(spark):
+    from tidemark.functions.embedding import embed_pending, hashed
+
+    df = spark.createDataFrame([(1, "apple pie", None), (2, "pie apple", None), (3, " ", None), (4, None, None), (5, "x", [1.0])], "id long, t string, e array<float>")
+    got = {r.id: r.embedding for r in embed_pending(df, "id", "t", "e", hashed(8), 1).collect()}
+    assert set(got) == {1, 2} and got[1] == got[2] and abs(sum(x * x for x in got[1]) - 1) < 1e-5
+
+
+def test_turns(spark):
+    from tidemark.plans.retrieve import recall_turns
+
+    rows = [(1, "apple pie recipe", "s", "2026-01-01 00:00:00", 3), (2, "apple tree", "s", "2020-01-01 00:00:00", 0), (3, "nothing", "t", None, None), (4, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, content string, session_id string, created_at string, retrieval_count int").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    got = recall_turns(df, "apple pie", None, F.lit("2026-01-02").cast("timestamp"), n=1).orderBy("rank").collect()
+    assert [r.id for r in got] == [1]
+
+
+def test_pools_gates_and_rules(spark):
+    from tidemark.operators import graph as G
+    from tidemark.operators import resolve as R
+
+    pairs = spark.createDataFrame([(1, "a", 0.96)], "new_id int, uuid string, sim double")
+    sem = spark.createDataFrame([(1, "a", 0, 0.96), (1, "b", 1, 0.8), (2, "c", 0, None), (3, "d", 0, 0.5)], "new_id int, uuid string, rank int, sim double")
+    pools = R.candidate_pools(pairs, sem)
+    assert {(r.new_id, r.uuid, r.pool) for r in pools.collect()} == {(1, "a", "pair"), (1, "b", "semantic"), (2, "c", "semantic"), (3, "d", "semantic")}
+    new = spark.createDataFrame([(1,), (2,), (3,), (4,)], "new_id int")
+    assert {r.new_id: (r.action, r.reinforce, r.ask) for r in R.enforce_gate(new, pools).collect()} == {1: ("skip", ["a"], []), 2: ("ask", [], ["c"]), 3: ("insert", [], []), 4: ("insert", [], [])}
+    notes = spark.createDataFrame([(1, "user"), (2, "user")], "id int, type string")
+    near = spark.createDataFrame([(1, 7, "project", 0.99, "same"), (1, 8, "user", 0.85, "contradicts"), (2, 9, "user", 0.5, "same")], "id int, note_id int, type string, sim double, verdict string")
+    assert {tuple(r) for r in R.reconcile_note(notes, near).collect()} == {(1, "supersede", 8), (2, "create", None)}
+    rules = spark.createDataFrame([(5, "Never use em dashes in prose"), (6, "")], "id int, rule string")
+    said = spark.createDataFrame([(1, "never use em dashes"), (2, "something else"), (3, None)], "id int, rule string")
+    assert {tuple(r) for r in R.same_rule(said, rules, ["in", "the"]).collect()} == {(1, 5)}
+    ents = spark.createDataFrame([("u1", "Alpha"), ("u2", "Alphabet")], "uuid string, name string")
+    deg = spark.createDataFrame([("u2", 3)], "node string, degree long")
+    assert [r.uuid for r in G.typeahead(ents, deg, "ALPHA").collect()] == ["u2", "u1"] and G.typeahead(ents, deg, " ").count() == 0

@@ -114,3 +114,9 @@ def link_graph(files: DataFrame, path: str, body: str) -> DataFrame:
     from tidemark.functions.text import wikilinks
 
     return files.select(F.col(path).alias("source"), F.explode(wikilinks(F.coalesce(F.col(body), F.lit("")))).alias("target")).distinct()
+
+
+def typeahead(entities: DataFrame, degrees: DataFrame, said: str, n: int = 10) -> DataFrame:
+    """Entities whose name contains what was typed, the best connected first."""
+    rows = entities.where(F.lower("name").contains(said.strip().lower())) if said.strip() else entities.limit(0)
+    return rows.join(degrees.withColumnRenamed("node", "uuid"), "uuid", "left").orderBy(F.desc_nulls_last("degree"), "name", "uuid").limit(n)

@@ -242,3 +242,52 @@ def retype_due(notes: DataFrame, memo: DataFrame) -> DataFrame:
     """Notes never judged, or updated after their judgement. memo: note_a, judged_at."""
     last = memo.groupBy("note_a").agg(F.max("judged_at").alias("judged_at"))
     return notes.join(last, notes["id"] == last["note_a"], "left").where("judged_at is null or judged_at < updated_at").drop("note_a", "judged_at")
+
+
+def candidate_pools(pairs: DataFrame, semantic: DataFrame, most: int = 8) -> DataFrame:
+    """new_id, uuid, pool, sim: candidates of new facts from the pair pool (same ends) and the semantic pool (new_id,
+    uuid, rank, sim), the `most` first of the latter; one in both is in the pair pool."""
+    own = pairs.select("new_id", "uuid", F.lit("pair").alias("pool"), "sim").distinct()
+    w = Window.partitionBy("new_id").orderBy("rank", "uuid")
+    near = semantic.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).select("new_id", "uuid", F.lit("semantic").alias("pool"), "sim")
+    return own.unionByName(near.join(own.select("new_id", "uuid"), ["new_id", "uuid"], "left_anti"))
+
+
+def enforce_gate(new: DataFrame, candidates: DataFrame, high: float = 0.95, low: float = 0.70) -> DataFrame:
+    """new_id, action, reinforce, ask for each new fact: skip (a merge candidate; all of them are reinforced), ask (only
+    gray ones are left for a judge), insert (none left). candidates: new_id, uuid, sim."""
+    from tidemark.operators.temporal import gate
+
+    c = candidates.withColumn("d", gate(F.col("sim"), high, low)).groupBy("new_id").agg(
+        F.sort_array(F.collect_set(F.when(F.col("d") == "merge", F.col("uuid")))).alias("reinforce"), F.sort_array(F.collect_set(F.when(F.col("d") == "gray", F.col("uuid")))).alias("ask")
+    )
+    none = F.array().cast("array<string>")
+    out = new.select("new_id").join(c, "new_id", "left").withColumn("reinforce", F.coalesce("reinforce", none)).withColumn("ask", F.coalesce("ask", none))
+    skip = F.size("reinforce") > 0
+    return out.select("new_id", F.when(skip, "skip").when(F.size("ask") > 0, "ask").otherwise("insert").alias("action"), "reinforce", F.when(skip, none).otherwise(F.col("ask")).alias("ask"))
+
+
+def reconcile_note(new: DataFrame, near: DataFrame, floor: float = 0.80) -> DataFrame:
+    """id, action, target_id: a new note (id, type, project) against near ones (id, note_id, type, sim, verdict): the
+    nearest of its type from the floor on is the same (update), contradicted (supersede) or distinct (create) as judged;
+    without one it is created."""
+    best = near.where(F.col("sim") >= floor).join(new.select("id", F.col("type").alias("_t")), "id").where("type = _t")
+    best = best.groupBy("id").agg(F.min_by(F.struct("note_id", "verdict"), F.struct(-F.col("sim"), "note_id")).alias("b"))
+    action = F.when(F.col("b.verdict") == "same", "update").when(F.col("b.verdict") == "contradicts", "supersede").otherwise("create")
+    return new.select("id").join(best, "id", "left").select("id", action.alias("action"), F.when(action != "create", F.col("b.note_id")).alias("target_id"))
+
+
+def same_rule(new: DataFrame, rules: DataFrame, stop: list[str], floor: float = 0.5) -> DataFrame:
+    """id, rule_id: the known rule a new one restates, by token Jaccard (0 for two empty ones); the first best."""
+    el = lambda d, i, c: d.select(F.col("id").alias(i), rule_tokens(F.col("rule"), stop).alias(c))
+    a, b = el(new, "id", "x"), el(rules, "rule_id", "y")
+    cand = a.select("id", F.explode("x").alias("t")).join(b.select("rule_id", F.explode("y").alias("t")), "t").select("id", "rule_id").distinct()
+    met = cand.join(a, "id").join(b, "rule_id").withColumn("j", T.jaccard(F.col("x"), F.col("y"), empty=0.0)).where(F.col("j") >= floor)
+    return met.groupBy("id").agg(F.min_by("rule_id", F.struct(-F.col("j"), "rule_id")).alias("rule_id"))
+
+
+def fired_histogram(fires: DataFrame, requests: DataFrame) -> DataFrame:
+    """skill, fired, dismissed, asked: how often each skill fired, was rejected, and was asked for without firing."""
+    f = fires.groupBy("skill").agg(F.count(F.lit(1)).alias("fired"), F.count_if("dismissed").alias("dismissed"))
+    r = requests.join(fires.select("skill", "session_id").distinct(), ["skill", "session_id"], "left_anti").groupBy("skill").agg(F.count(F.lit(1)).alias("asked"))
+    return f.join(r, "skill", "full_outer").fillna(0, ["fired", "dismissed", "asked"])

@@ -66,3 +66,26 @@ def recall(
 def T_clean(query: str) -> str:
     """A query with only letters, digits and spaces."""
     return "".join(c if c.isalnum() or c.isspace() else " " for c in query).strip()
+
+
+def recall_turns(episodes: DataFrame, query: str, probe: Column | None, now: Column, n: int = 5, tau: float = 0.5, most: int = 10, scorer: Scorer = lexical_scorer) -> DataFrame:
+    """Full turns of a query: both legs over episodes (id, content, session_id, created_at, retrieval_count and, with a
+    probe, embedding), fused with recency and feedback weights, reranked on the head and the best stretch of long
+    turns, and cut at tau times the top score, n to `most` of them."""
+    from tidemark.plans.buckets import best_window
+
+    legs = [R.bm25(episodes, "id", "content", T_clean(query), 100).select("id", "rank")]
+    if probe is not None:
+        legs.append(R.ranked(Vc.nearest(episodes, F.col("embedding"), probe, 100, "id").select("id", "sim"), F.desc("sim"), F.col("id")).select("id", "rank"))
+    meta = episodes.select("id", "session_id", "created_at", "retrieval_count", "content")
+    hits = None
+    for leg in legs:
+        hits = leg if hits is None else hits.unionByName(leg)
+    hits = hits.join(meta.select("id", "created_at", "retrieval_count"), "id")
+    weight = R.recency(F.col("created_at"), now, 30.0) * R.feedback(F.col("retrieval_count"))
+    fused = R.rrf([hits.withColumn("w", weight)], "id", weight=F.col("w"))
+    pool = fused.orderBy(F.desc("score"), "id").limit(100).join(meta, "id")
+    head = scorer(pool, "content", query).withColumnRenamed("rerank", "_head")
+    both = scorer(head.withColumn("_win", best_window(F.col("content"), query)), "_win", query).withColumn("rerank", F.greatest("_head", "rerank")).drop("_head", "_win")
+    ranked = R.ranked(R.rerank_recency(both, "rerank", "created_at", now), F.desc("adjusted"), F.desc("score"), F.col("id"))
+    return R.cutoff(ranked, "adjusted", tau, n, most).select("id", "session_id", "rank", "rerank", "content")
