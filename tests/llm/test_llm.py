@@ -167,6 +167,18 @@ def test_refusals_match_brute_force(spark, hot):
     assert got == _brute(rows) and len(got) > 20
 
 
+def test_refusals_at_one_word_in_eight(spark):
+    rng, rows = random.Random(8), []
+    for i in range(60):  # every eighth word, at random places, becomes a word that no other text has
+        q, r = ([f"w{rng.randrange(3000)}" for _ in range(n)] for n in (24, 96))
+        rows.append((i, f"s{i}", 1, "p", " ".join(q), " ".join(r), 0))
+        for part in (q, r):
+            for k in rng.sample(range(len(part)), len(part) // 8):
+                part[k] = f"new{rng.randrange(10**9)}"
+        rows.append((1000 + i, f"t{i}", 1, "p", " ".join(q), " ".join(r), 1))
+    assert {tuple(x) for x in batches.refusals(eps(spark, rows)).select("id_a", "id_b").collect()} == {(i, 1000 + i) for i in range(60)}
+
+
 def test_admit_equals_replay(spark, tmp_path):
     rows = _batch_rows(random.Random(9))
     df = eps(spark, rows).dropDuplicates(["id"])
