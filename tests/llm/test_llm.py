@@ -118,6 +118,15 @@ def test_spans_are_within_and_apart(text):
     assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
 
 
+def test_redacted_query_has_notes(spark, tmp_path):
+    eps(spark, [(1, "s", 1, "p", "mail ann@example.org", "done", 0)]).write.parquet(str(tmp_path / "episodes.parquet"))
+    spark.createDataFrame([(1, "mail bob@example.org now"), (2, None)], "id long, body string").write.parquet(str(tmp_path / "notes.parquet"))
+    got = {(r.item_table, r.item_id, r.field): r.text for r in catalogue.p4_redacted(spark, str(tmp_path)).collect()}
+    assert set(got) == {("episodes", 1, "human_turn"), ("episodes", 1, "content"), ("notes", 1, "body"), ("notes", 2, "body")}
+    assert got["notes", 2, "body"] is None and got["notes", 1, "body"] == personal.redact("mail bob@example.org now")
+    assert not any("example.org" in t for t in got.values() if t)
+
+
 def test_findings(spark):
     e = eps(spark, [(1, "s", 1, "p", "call +44 7700 900123", "Milo Felkbury did", 0), (1, "s", 1, "p", "call +44 7700 900123", "Milo Felkbury did", 0), (2, "s", 2, None, None, "x", 0)])
     n = spark.createDataFrame([(7, "bob@x.example"), (8, None)], "id long, body string")

@@ -55,8 +55,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "episodes").select("id", "human_turn", "content").distinct()
-    return rows.select("id", personal.redacted("human_turn").alias("human_turn"), personal.redacted("content").alias("content"))
+    return personal.redactions(read(spark, d, "episodes"), read(spark, d, "notes"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

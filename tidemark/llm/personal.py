@@ -276,6 +276,16 @@ def redacted(col: Column | str) -> Column:
     return run(col)
 
 
+def redactions(episodes: DataFrame, notes: DataFrame) -> DataFrame:
+    """item_table, item_id, field, text: each field with placeholders, null ones too. A redelivered row counts once."""
+    out = None
+    for table, df, fields in (("episodes", episodes, ("human_turn", "content")), ("notes", notes, ("body",))):
+        each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields))).alias("x")
+        rows = df.select("id", *fields).distinct().select(F.lit(table).alias("item_table"), F.col("id").cast("long").alias("item_id"), each)
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("item_table", "item_id", "x.field", redacted("x.text").alias("text"))
+
+
 def findings(episodes: DataFrame, notes: DataFrame) -> DataFrame:
     """item_table, item_id, field, pii_type: what each field holds at least once.
 
