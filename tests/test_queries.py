@@ -54,3 +54,8 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_overlay_has_every_episode(spark):
+    got = catalogue.queries()["validity_overlay_all"](spark, D)
+    assert got.where("episode_id >= 200").count() > 0

@@ -75,6 +75,13 @@ def validity_overlay(spark, d):
     return B.overlay(V.edges(spark, d), served).select("episode_id", F.array_join("current", ",").alias("current"))
 
 
+@query(f"""{E}, o as (select unnest(episodes) as episode_id, invalidated_by from edges where t_invalid is not null)
+    select episode_id, string_agg(distinct invalidated_by, ',' order by invalidated_by) as current from o join orders on o_orderkey = episode_id where invalidated_by in (select uuid from edges where t_invalid is null) group by 1""")
+def validity_overlay_all(spark, d):
+    served = read(spark, d, "orders").select(F.col("o_orderkey").alias("episode_id"))
+    return B.overlay(V.edges(spark, d), served).select("episode_id", F.array_join("current", ",").alias("current"))
+
+
 @query(f"""{E}, {V.WAYS} select node, count(*) filter (where t_invalid is null or t_invalid > timestamp '2000-01-01') as live, count(*) filter (where t_invalid <= timestamp '2000-01-01') as closed, min(t_valid) as first_valid, count(distinct other) as neighbours from ways group by 1""")
 def entity_dossier_stats(spark, d):
     return G.dossier(V.edges(spark, d), F.expr(AT))
