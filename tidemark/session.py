@@ -55,6 +55,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
+def _hadoop(spark: SparkSession, uri: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, uri: str) -> bool:
+    """Whether a file or folder is there, on whatever file system its URI names."""
+    fs, path = _hadoop(spark, uri)
+    return fs.exists(path)
+
+
+def remove(spark: SparkSession, uri: str) -> None:
+    """Delete a file or folder of our own making, with all in it."""
+    fs, path = _hadoop(spark, uri)
+    fs.delete(path, True)
+
+
 def local_path(uri: str) -> str:
     """The path of a file: URI as the file system of driver and executors knows it."""
     return uri[7:] if uri.startswith("file://") else uri[5:] if uri.startswith("file:") else uri
