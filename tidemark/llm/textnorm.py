@@ -20,12 +20,15 @@ INVISIBLE = "­͏؜᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩
 _FOLD = {ord(k): v for k, v in LOOKALIKES.items()} | {ord(c): None for c in INVISIBLE}
 _TAG = re.compile(r"</?[a-zA-Z][a-zA-Z0-9]{0,9}(?:\s[^<>]{0,80})?/?>")
 _MARK = re.compile(r"\*\*|__|~~|`+|(?<!\w)[*_](?=\S)|(?<=\S)[*_](?!\w)|^\s{0,3}(?:#{1,6}|>|[-*+]|\d{1,3}[.)])\s+", re.M)
+_START = re.compile(r"^\s{0,3}(?:#{1,6}|>|[-*+]|\d{1,3}[.)])\s+", re.M)
 _WORD = re.compile(r"[^\W_]+")
+#: Anything but ASCII, the letters of Latin-1 and common punctuation; texts without it need no compatibility form.
+_UNUSUAL = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ¿¡«»“”„‘’–—€]")
 
 
 def fold(text: str) -> str:
     """NFKC, look-alike letters as Latin ones, nothing invisible, lower case."""
-    if text.isascii():
+    if text.isascii() or not _UNUSUAL.search(text):
         return text.casefold()
     return unicodedata.normalize("NFKC", text.translate(_FOLD)).translate(_FOLD).casefold()
 
@@ -34,7 +37,8 @@ def strip_markup(text: str) -> str:
     """Without HTML tags, emphasis, code marks and marks at the start of a line."""
     if "<" in text:
         text = _TAG.sub("", text)
-    return _MARK.sub("", text)
+    # without marks inside of lines only their starts matter
+    return (_MARK if "*" in text or "_" in text or "~" in text or "`" in text else _START).sub("", text)
 
 
 def words(text: str | None) -> list[str]:
