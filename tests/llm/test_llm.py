@@ -271,7 +271,8 @@ def coder(tmp_path_factory):
     path = encoding.vocabulary()
     ranks = encoding.load_ranks(path)
     folder = str(tmp_path_factory.mktemp("lex"))
-    encoding.compile_lexicon([w.encode() for w in " the, the a an and ing ring string strings the The 123 ü".split(" ")] + [b" the", b" a", b" string"], ranks, folder)
+    held = encoding.compile_lexicon([w.encode() for w in " the, the a an and ing ring string strings the The 123 ü".split(" ")] + [b" the", b" a", b" string"], ranks, folder)
+    assert encoding.Encoder(held, path).lookup([b" the", b"zz"]).tolist() == encoding.Encoder(folder, path).lookup([b" the", b"zz"]).tolist()
     return encoding.Encoder(folder, path), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -301,12 +302,33 @@ def test_mix(spark):
     got = mixing.select_counted(counts, targets)
     out = {r.source: r for r in mixing.shares(got, targets).collect()}
     for s, share in (("a", 0.5), ("b", 0.4), ("c", 0.1)):
-        assert abs(out[s].share - share) < 0.01
-    assert out["a"].most_repeats <= 1 and out["b"].most_repeats <= 4 and out["gone"].tokens == 0
+        assert abs(out[s].share - share) < 0.01 and abs(out[s].target_share - share) < 1e-9
+    assert out["a"].most_repeats <= 1 and out["b"].most_repeats <= 4 and out["gone"].tokens == 0 and out["gone"].target_share == 0
     assert got.groupBy("mix", "doc_id").count().where("count > 1").count() == 0
     assert mixing.select_counted(counts.limit(0), targets).count() == 0
 
 
+def test_mix_with_estimated_sources(spark):
+    rng = random.Random(5)
+    rows = [(i, "a" if i % 3 else "b", rng.randint(20, 60), None) for i in range(600)] + [(1000 + i, None, 40, {"a": 12, "b": 4}) for i in range(60)] + [(2000, None, 30, None)]
+    counts = spark.createDataFrame(rows, "doc_id long, source string, tokens long, estimate map<string,int>")
+    targets = spark.createDataFrame([("m", "a", 1.0, 2), ("m", "b", 1.0, 3)], "mix string, source string, weight double, max_repeats int")
+    got = mixing.select_counted(counts, targets)
+    soft = got.where("source is null").collect()
+    assert soft and all(r.repeats <= 2 and r.doc_id != 2000 for r in soft)
+    out = {r.source: r for r in mixing.shares(got, targets).collect()}
+    assert all(abs(r.share - 0.5) < 0.01 and r.expected > r.tokens for r in out.values())
+
+
+def test_sources_held_out(spark):
+    rows = read(spark, "/root/testdata/sf0.01", "documents").where("source is not null and length(text) > 50").select("doc_id", "text", "source").collect()
+    model = mixing.Sources([(r.text, r.source) for r in rows if r.doc_id % 3])
+    test = [r for r in rows if r.doc_id % 3 == 0]
+    right = sum(model.names[int(np.argmax(model.posterior(r.text)))] == r.source for r in test)
+    assert right / len(test) >= 0.85
+    assert abs(model.posterior("").sum() - 1) < 1e-9 and len(mixing.Sources([]).posterior("x")) == 0
+
+
 # ---- 10 subjects
 def test_subjects_held_out(spark):
     d = "/root/testdata/sf0.1"

@@ -3,7 +3,8 @@
 Words (pieces of the pre-tokenizer) follow a steep distribution, so the frequent ones are compiled once into a
 minimal acyclic transducer: a deterministic automaton over bytes with shared suffixes, whose transitions carry the
 number of accepted words skipped. The sum along a path is the word's rank in sorted order, and that is its row in a
-table of id lists. Automaton and table are arrays in the shared folder, memory-mapped by every worker; all distinct
+table of id lists. Automaton and table are arrays in the shared folder, memory-mapped by every worker where that folder
+is a mounted file system and broadcast (a few MB, bounded by LEXICON) where it isn't; all distinct
 words of a batch walk it together, one byte a step. Words outside the lexicon are merged exactly, pair by pair, in
 rank order. So the lexicon decides only about speed: its size is a parameter, and any lexicon gives the same ids.
 
@@ -17,11 +18,13 @@ import heapq
 import os
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,8 +88,9 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def compile_lexicon(words: Iterable[bytes], ranks: dict[bytes, int], folder: str) -> None:
-    """Write the transducer of a set of words: keys (state << 8 | byte, sorted), target, skip, final, offsets, ids.
+def compile_lexicon(words: Iterable[bytes], ranks: dict[bytes, int], folder: str | None) -> dict[str, np.ndarray]:
+    """The transducer of a set of words: keys (state << 8 | byte, sorted), target, skip, final, offsets, ids; written to
+    a folder if one is given.
 
     States are merged bottom-up while sorted words come in (a register of equal states), so suffixes are shared and
     the automaton is minimal without ever holding the trie.
@@ -132,12 +136,15 @@ def compile_lexicon(words: Iterable[bytes], ranks: dict[bytes, int], folder: str
     rows.sort()
     table = np.array(rows, dtype=np.int64).reshape(-1, 3)
     lists = [merge(w, ranks) for w in ordered]
-    os.makedirs(folder, exist_ok=True)
-    for name, a in {
+    arrays = {
         "keys": table[:, 0], "target": table[:, 1].astype(np.int32), "skip": table[:, 2].astype(np.int32), "final": np.array(final, dtype=bool),
         "offsets": np.cumsum([0, *map(len, lists)]).astype(np.int64), "ids": np.array([i for x in lists for i in x], dtype=np.int32), "root": np.array([root]),
-    }.items():
-        np.save(os.path.join(folder, f"{name}.npy"), a)
+    }
+    if folder:
+        os.makedirs(folder, exist_ok=True)
+        for name, a in arrays.items():
+            np.save(os.path.join(folder, f"{name}.npy"), a)
+    return arrays
 
 
 class Encoder:
@@ -145,18 +152,20 @@ class Encoder:
 
     _cache: dict[tuple[str, str], Encoder] = {}
 
-    def __init__(self, folder: str, ranks: str):
-        for name in ("keys", "target", "skip", "final", "offsets", "ids"):
-            setattr(self, name, np.load(os.path.join(folder, f"{name}.npy"), mmap_mode="r"))
-        self.root = int(np.load(os.path.join(folder, "root.npy"))[0])
+    def __init__(self, source: str | dict[str, np.ndarray], ranks: str):
+        """source: the folder of the arrays, or the arrays."""
+        for name in ("keys", "target", "skip", "final", "offsets", "ids", "root"):
+            setattr(self, name, np.load(os.path.join(source, f"{name}.npy"), mmap_mode="r") if isinstance(source, str) else source[name])
+        self.root = int(self.root[0])
         self.ranks = load_ranks(ranks)
         self.split = splitter()
 
     @classmethod
-    def get(cls, folder: str, ranks: str) -> Encoder:
-        if (folder, ranks) not in cls._cache:
-            cls._cache = {(folder, ranks): cls(folder, ranks)}
-        return cls._cache[folder, ranks]
+    def get(cls, lexicon: Lexicon, ranks: str) -> Encoder:
+        key = (lexicon.name, ranks)
+        if key not in cls._cache:
+            cls._cache = {key: cls(lexicon.shared.value if lexicon.shared else lexicon.name, ranks)}
+        return cls._cache[key]
 
     def lookup(self, words: list[bytes]) -> np.ndarray:
         """The row of each word in the table of id lists, -1 for words outside the lexicon."""
@@ -244,15 +253,24 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lexicon(docs: DataFrame, text: str = "text", ranks: str = "byte_bpe_50k.tiktoken", size: int = LEXICON) -> str:
-    """Compile the most frequent words of the corpus; returns the folder of the transducer in the shared folder."""
+@dataclass
+class Lexicon:
+    """Where the workers find a compiled lexicon: the folder `name`, or a broadcast of its arrays."""
+
+    name: str
+    shared: Broadcast | None = None
+
+
+def lexicon(docs: DataFrame, text: str = "text", ranks: str = "byte_bpe_50k.tiktoken", size: int = LEXICON) -> Lexicon:
+    """Compile the most frequent words of the corpus."""
     top = word_counts(docs, text).where("n > 1").orderBy(F.desc("n"), "word").limit(size).select("word").toPandas()["word"]
-    folder = local_path(scratch(docs.sparkSession, "lexicon"))
-    compile_lexicon((w.encode("utf-8", "replace") for w in top), load_ranks(vocabulary(ranks)), folder)
-    return folder
+    uri = scratch(docs.sparkSession, "lexicon")
+    mounted = uri.startswith(("file:", "/"))
+    arrays = compile_lexicon((w.encode("utf-8", "replace") for w in top), load_ranks(vocabulary(ranks)), local_path(uri) if mounted else None)
+    return Lexicon(local_path(uri)) if mounted else Lexicon(uri, docs.sparkSession.sparkContext.broadcast(arrays))
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     lo = size = 0
     for i, t in enumerate(texts):
         size += len(t) if t else 0
@@ -265,13 +283,13 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ranks: str = "byte_bpe_50k.tiktoken", size: int = LEXICON) -> DataFrame:
     """id_col, ids: one row per input row. Two scans (words, ids); only word counts are shuffled."""
-    folder, path = lexicon(docs, text, ranks, size), vocabulary(ranks)
+    words, path = lexicon(docs, text, ranks, size), vocabulary(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder.get(folder, path)
+        enc = Encoder.get(words, path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for lo, hi in _chunks(texts):
+            for lo, hi in chunks(texts):
                 n, ids = enc.encode(texts[lo:hi])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], names=[id_col, "ids"])
@@ -281,14 +299,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ranks: s
 
 def token_counts(docs: DataFrame, keep: list[str], text: str = "text", ranks: str = "byte_bpe_50k.tiktoken", size: int = LEXICON) -> DataFrame:
     """The kept columns and tokens (the number of ids of the text); the texts don't leave the scan."""
-    folder, path = lexicon(docs, text, ranks, size), vocabulary(ranks)
+    words, path = lexicon(docs, text, ranks, size), vocabulary(ranks)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder.get(folder, path)
+        enc = Encoder.get(words, path)
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
-            n = np.concatenate([enc.encode(texts[lo:hi], ids=False)[0] for lo, hi in _chunks(texts)] or [np.zeros(0, np.int64)])
+            n = np.concatenate([enc.encode(texts[lo:hi], ids=False)[0] for lo, hi in chunks(texts)] or [np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n)], names=[*keep, "tokens"])
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep)
