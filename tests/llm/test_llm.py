@@ -40,6 +40,53 @@ def test_broken_sessions(spark):
     assert conversations.broken_sessions(df.limit(0)).count() == 0
 
 
+def _assembled(rows):
+    """Sessions that don't come out as one unambiguous path, by search: fragments of each batch, merged where a suffix of
+    one equals a prefix of another or where they meet without a gap."""
+    bad, by = set(), {}
+    for _, s, n, _, q, a, b in rows:
+        by.setdefault(s, {}).setdefault(b, set()).add((n, q.strip(), a.strip()))
+    for s, batches_ in by.items():
+        frags = []
+        for nodes in batches_.values():
+            for n in sorted(nodes):
+                if frags and frags[-1][0] is nodes and n[0] == frags[-1][1][-1][0] + 1:
+                    frags[-1][1].append(n)
+                else:
+                    frags.append((nodes, [n]))
+        paths = [f for _, f in frags]
+        merged = True
+        while merged:
+            merged = False
+            for i, x in enumerate(paths):
+                for j, y in enumerate(paths):
+                    k = max((k for k in range(1, min(len(x), len(y)) + 1) if x[-k:] == y[:k]), default=0)
+                    inside = any(x[o : o + len(y)] == y for o in range(len(x)))
+                    if i != j and (k or inside or x[-1][0] + 1 == y[0][0]):
+                        paths = [p for n, p in enumerate(paths) if n not in (i, j)] + [x if inside else x + y[k:]]
+                        merged = True
+                        break
+                if merged:
+                    break
+        if len(paths) > 1 or paths[0][0][0] > 1 or len({n for n, _, _ in paths[0]}) < len(paths[0]):
+            bad.add(s)
+    return bad
+
+
+def test_closed_form_equals_assembly(spark):
+    rng, rows = random.Random(2), []
+    for s in range(150):
+        n = rng.randint(1, 6)
+        start = rng.choice([0, 1, 1, 1, 2])
+        for b in range(rng.randint(1, 4)):  # overlapping fragments, now and then with a hole or another text
+            lo = rng.randint(0, n - 1)
+            for k in range(lo, rng.randint(lo, n - 1) + 1):
+                if rng.random() < 0.95:
+                    rows.append((len(rows), f"s{s}", start + k, "p", f"q{k}", f"a{k}" if rng.random() < 0.97 else "other", b))
+    got = {r.session_id for r in conversations.broken_sessions(eps(spark, rows)).collect()}
+    assert got == _assembled(rows) and 20 < len(got) < 140
+
+
 # ---- 2 splitting
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["word ", "a longer sentence here. ", "\n\n", "# head\n", "- item\n", "x" * 700, "```\ncode\n```\n", "| a | b |\n", "ü日本 "]), max_size=120))
@@ -54,7 +101,8 @@ def test_pieces_keep_the_rules(parts):
     assert spans[0][0] == lo and spans[-1][1] == lo + len(core)
     assert all(0 < b - a <= splitting.LIMIT for a, b in spans)
     for (_, end), (start, _) in zip(spans, spans[1:]):
-        assert end - splitting.OVERLAP <= start < end
+        assert start == end - splitting.OVERLAP
+    assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(spans, spans[1:]))
     assert (len(spans) > 1) == (len(core) > splitting.LIMIT)
 
 
@@ -73,6 +121,20 @@ def test_split_frames(spark):
     w = spark.createDataFrame([(1, [1, 2, 2, None, 3, 4, 5]), (2, [1, 2, 3, 4]), (3, None), (4, [])], "id long, e array<long>")
     pieces = {(r.id, r.piece): r.episode_ids for r in splitting.split_windows(w, "id", "e").collect()}
     assert pieces == {(1, 0): [1, 2, 3, 4], (1, 1): [4, 5], (2, 0): [1, 2, 3, 4]}
+    e = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, "a", 4), (4, "a", 5), (5, "b", 1), (5, "b", 1)], "id long, session_id string, sequence int")
+    pieces = {(r.id, r.piece): r.episode_ids for r in splitting.split_windows(w, "id", "e", episodes=e).collect()}
+    assert pieces == {(1, 0): [1, 2, 3, 4], (1, 1): [4, 5], (2, 0): [1, 2, 3, 4]}
+    w2 = spark.createDataFrame([(7, [1, 2, 3, 4, 5, 9])], "id long, e array<long>")
+    got = {r.piece: (r.n_pieces, r.episode_ids) for r in splitting.split_windows(w2, "id", "e", limit=3, episodes=e).collect()}
+    assert got == {0: (3, [1, 2]), 1: (3, [2, 3, 4]), 2: (3, [4, 5, 9])}
+
+
+@given(st.lists(st.lists(st.integers(0, 9), min_size=1, max_size=7), max_size=6), st.integers(2, 6), st.integers(0, 1))
+def test_pack_ids(runs, limit, overlap):
+    got = splitting.pack_ids(runs, limit, overlap)
+    assert all(len(p) <= limit for p in got)
+    assert [i for k, p in enumerate(got) for i in (p[overlap:] if k else p)] == [i for r in runs for i in r]
+    assert all(not overlap or a[-overlap:] == b[:overlap] for a, b in zip(got, got[1:]))
 
 
 # ---- 3 residue

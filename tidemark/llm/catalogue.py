@@ -35,7 +35,7 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_windows(spark: SparkSession, d: str) -> DataFrame:
-    out = splitting.split_windows(read(spark, d, "chunks"), "id", "episode_ids").where("n_pieces > 1")
+    out = splitting.split_windows(read(spark, d, "chunks"), "id", "episode_ids", episodes=read(spark, d, "episodes")).where("n_pieces > 1")
     return out.withColumn("episode_ids", F.array_join(F.col("episode_ids").cast("array<string>"), ","))
 
 

@@ -2,10 +2,10 @@
 
 Texts are parsed into a tree - sections by heading, blocks (fences and tables are atoms), lines, sentences, words,
 characters. Packing goes bottom-up: a subtree within the limit is one unit, sibling units are merged while they fit,
-and only a node beyond the limit is descended into. Every piece but the first starts with the last `overlap`
-characters of the one before (moved to a word boundary where there is one), and offsets are positions in the item.
+and only a node beyond the limit is descended into. Every piece but the first starts with exactly the last `overlap`
+characters of the one before, and offsets are positions in the item.
 
-Windows of ids are cut by the same rule, with ids for characters.
+Windows of ids are cut by the same rule: their tree is sessions, runs of consecutive sequence numbers, ids.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ _HEAD = re.compile(r"^\s{0,3}(#{1,6})\s")
 _LIST = re.compile(r"^\s*(?:[-*+]|\d{1,3}[.)])\s")
 _SENT = re.compile(r"(?<=[.!?…。！？])[\"'”’)\]]*\s+|(?<=[。！？])")
 _WORD = re.compile(r"\s+")
+_SIGN = re.compile(r"[,;:/&|)}\]>]+")
 
 
 def _cuts(text: str, lo: int, hi: int, pattern: re.Pattern) -> list[tuple[int, int]]:
@@ -108,8 +109,8 @@ def _pack(text: str, nodes: list, room: int) -> list[tuple[int, int]]:
 
 
 def _leaf(text: str, lo: int, hi: int, room: int) -> list[tuple[int, int]]:
-    """A block beyond the limit: by line, sentence, word, then anywhere."""
-    for pattern in (re.compile("\n"), _SENT, _WORD):
+    """A block beyond the limit: by line, sentence, word, punctuation, then anywhere."""
+    for pattern in (re.compile("\n"), _SENT, _WORD, _SIGN):
         parts = _cuts(text, lo, hi, pattern)
         if len(parts) > 1:
             return _pack(text, [(8, a, b) for a, b in parts], room)
@@ -122,14 +123,9 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     if hi - lo <= limit:
         return [(lo, hi)] if hi > lo else []
     units = _pack(text, _tree(_blocks(text, lo, hi)), limit - overlap)
-    out = [units[0]]
-    for a, b in units[1:]:
-        start = a - overlap
-        gap = _WORD.search(text, start, a)  # a word is not begun in its middle, if the overlap has a boundary early on
-        if gap and gap.end() < a and gap.end() - start <= overlap // 4 and not text[start - 1].isspace():
-            start = gap.end()
-        out.append((max(start, lo), b))
-    return out
+    if len(units) > 1 and units[0][1] - lo < overlap:  # the first piece has room for its sibling, and must hold the overlap
+        units[:2] = [(lo, units[1][1])]
+    return [(a - overlap if k else lo, b) for k, (a, b) in enumerate(units)]
 
 
 def split_texts(df: DataFrame, id_col: str, text: str, start: str | None = None, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -162,17 +158,62 @@ def split_texts(df: DataFrame, id_col: str, text: str, start: str | None = None,
     return many.unionByName(one)
 
 
-def split_windows(df: DataFrame, id_col: str, ids: str, limit: int = 4, overlap: int = 1) -> DataFrame:
-    """Windows of ids in pieces of at most `limit` distinct ids, `overlap` shared by neighbours.
-
-    Null elements are dropped, repeated ones kept once at their first place. id, piece, n_pieces, episode_ids.
+def pack_ids(runs: list[list[int]], limit: int, overlap: int) -> list[list[int]]:
+    """Pieces of at most `limit` ids, each but the first begun with the last `overlap` ids of the one before. A run is cut
+    only if it doesn't fit into one piece."""
+    pieces: list[list[int]] = []
+    open_: list[int] = []
+    for run in runs:
+        if open_ and len(open_) + len(run) > limit and len(run) <= limit - overlap:
+            pieces.append(open_)
+            open_ = open_[-overlap:] if overlap else []
+        for i in run:
+            if len(open_) == limit:
+                pieces.append(open_)
+                open_ = open_[-overlap:] if overlap else []
+            open_ = [*open_, i]
+    return [*pieces, open_] if open_ else pieces
+
+
+def split_windows(df: DataFrame, id_col: str, ids: str, limit: int = 4, overlap: int = 1, episodes: DataFrame | None = None) -> DataFrame:
+    """Windows of ids in pieces of at most `limit` distinct ids, `overlap` shared by neighbours: id, piece, n_pieces, episode_ids.
+
+    Null elements are dropped, repeated ones kept once at their first place. With `episodes` (id, session_id, sequence)
+    windows are cut where the session changes or skips a number, as far as the limit allows; ids without an episode
+    continue the run they stand in. Without it, or where nothing is skipped, pieces are as long as the limit allows.
     """
     clean = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.array_distinct(F.array_compact(F.col(ids))).alias("e")).distinct().where(F.size("e") > 0)
     step = limit - overlap
     n = F.greatest(F.lit(1), F.ceil((F.size("e") - overlap) / F.lit(step))).cast("int")
-    return clean.withColumn("n_pieces", n).select(
+    plain = clean if episodes is None else clean.where(F.size("e") <= limit)
+    out = plain.withColumn("n_pieces", n).select(
         "id", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)).alias("piece"), "n_pieces", "e"
     ).select("id", "piece", "n_pieces", F.slice("e", F.col("piece") * step + 1, limit).alias("episode_ids"))
+    if episodes is None:
+        return out
+    known = episodes.where("id is not null").groupBy(F.col("id").alias("x")).agg(F.min(F.struct("session_id", "sequence")).alias("at"))
+    big = clean.where(F.size("e") > limit).withColumn("w", F.xxhash64("id", "e"))
+    each = big.select("w", "id", F.posexplode("e").alias("k", "x")).join(known, "x", "left")
+    # a list holds what one row held
+    again = each.groupBy("w", "id").agg(F.array_sort(F.collect_list(F.struct("k", "x", F.col("at.session_id").alias("s"), F.col("at.sequence").alias("n")))).alias("l"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for i, l in zip(pdf["id"], pdf["l"]):
+                runs: list[list[int]] = []
+                last = None
+                for e in l:
+                    here = None if e["n"] is None else (e["s"], e["n"])
+                    if not runs or (here and last and (here[0] != last[0] or here[1] not in (last[1], last[1] + 1))):
+                        runs.append([])
+                    runs[-1].append(e["x"])
+                    last = here or last
+                pieces = pack_ids(runs, limit, overlap)
+                rows += [(i, k, len(pieces), x) for k, x in enumerate(pieces)]
+            yield pd.DataFrame(rows, columns=["id", "piece", "n_pieces", "episode_ids"])
+
+    return out.unionByName(again.select("id", "l").mapInPandas(pack, "id long, piece int, n_pieces int, episode_ids array<long>"))
 
 
 def oversized(web_chunks: DataFrame, chunks: DataFrame) -> DataFrame:
