@@ -1,18 +1,22 @@
 """Problem 3: template residue, filler, error pages and script notices in place of content.
 
 Each result is reduced to its answer (without query line, links and closing hint) or its instructions, and cut into
-units (sentences and lines). Three kinds of evidence:
-
-* Slots. Tokens in template syntax and the defaults of unset variables are slots. Units are aligned by their skeleton,
-  the unit with every slot or delimited short token as a gap; a delimited token is an induced slot only where records
-  of the same skeleton fill it with at least two different names. A unit with two or more slots is residue.
-* Filler, error messages and script notices, by what the unit itself says.
-* Whole answers that recur: the skeleton of the answer (numbers, ids and hosts as gaps), if short and found in at least
-  three results, is a page template, not content.
-
-A result is residue if all its units are, if two or more are while it isn't merely quoting them, or if it is a page
-template with an error word. Units that report on such text ("counts how often ...", "should be caught ...") are content.
-Both tables of counts are aggregates over all results; no result is compared with another.
+units (sentences and lines).
+
+* Alignment. The skeleton of a unit has a gap for every slot, short delimited token, number, id, path and host. Units of
+  all results are aligned by their skeletons. A skeleton recurs if it is met in at least three results and in one of
+  10,000. A result is suspect if half of its units recur or are bad by themselves; a recurring skeleton is a template if
+  four fifths of its results are suspect. What content merely quotes, or says in the same words by chance, is met among
+  content and so is none.
+* Slots. Tokens in template syntax and the defaults of unset variables. A unit with two or more slots that retain a
+  variable's name or nothing at all is residue.
+* Whole pages. The set of skeletons of a result; if it recurs and one of its units is bad, the page is a template.
+* Text without words, or words without grammar, and notices known beforehand (four languages): evidence for what is too
+  rare to be aligned. `known=False` does without the lists of notices.
+
+A result is residue if all its units are, if two or more are made of slots or filler, or if at least half are residue and
+one of them is by alignment or three are. All counts are exact aggregates over all results; no result is compared with
+another, and what is shuffled is hashes of skeletons.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from re import _parser as parser
 
 import ahocorasick
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,7 +149,11 @@ _NEUTRAL = re.compile(r"^\W*\d+\W*$|^(?=.*\b(?:[0-9a-f]{8,}|[\w\-]+\.(?:example|
 _LOREM = re.compile(r"\blorem\b.{0,10}\bipsum\b")
 # Words that prose of en, de, es or fr can hardly do without.
 _GLUE = frozenset("the a an of to in is was and for that it with on as at by be not are or from this der die das und ist nicht mit für ein eine zu den von im auf es wir el la los las de que y en no un una con por para se le les des du est et dans pour une sur".split())
-_MASK = re.compile(r"\b[0-9a-f]{8,}\b|\b[\w\-]+(?:\.[\w\-]+)*\.(?:example|invalid|test|com|org|net|io|dev)\b|/[\w/.\-]+|\d+")
+_MASK = re.compile(r"\b[0-9a-f]{8,}\b|\b[\w\-]+(?:\.[\w\-]+)*\.(?:example|invalid|test|com|org|net|io|dev)\b|(?<!<)/[\w/.\-]+|\b\w+/[\d.]+|\b\w*_\w+\b|\d+")
+#: Results in which a skeleton must be met to recur: this many, and this share of all.
+LEAST, RATE = 3, 1e-4
+#: Share of a recurring skeleton's results that must be suspect.
+TOGETHER = 0.8
 
 
 def answer(text: str) -> str:
@@ -178,78 +187,74 @@ def skeleton(unit: str) -> str:
     return _WEAK.sub("¤", _SLOT.sub("¤", unit))
 
 
-def judge(unit: str, aligned: frozenset[str] | set[str] = frozenset()) -> str:
-    """slot, filler, error, script, neutral or '' for a unit."""
+def judge(unit: str, known: bool = True) -> str:
+    """slot, filler, error, script, neutral or '' for a unit by itself."""
     low = unit.lower()
     n = len(_SLOT.findall(unit))
     bare = re.sub(r"[\W_]+", "", _SLOT.sub("", unit))
-    if (n >= 2 and not (_REPORT.search(low) and n < 3 and not unit.startswith(("Über", "In ", "Dear")))) or (n == 1 and len(bare) < 4):
-        return "slot"
-    if aligned and (s := skeleton(unit)).count("¤") >= 2 and s in aligned:
+    reports = known and _REPORT.search(low)
+    if (n >= 2 and not (reports and n < 3 and not unit.startswith(("Über", "In ", "Dear")))) or (n == 1 and len(bare) < 4):
         return "slot"
     if _gibberish(unit) or _LOREM.match(low):
         return "filler"
-    if _REPORT.search(low) and len(low) > 40:
+    if reports and len(low) > 40:
         return ""
-    return "filler" if _FILLER.search(low) else "script" if _SCRIPTS.search(low) else "error" if _ERRORS.search(low) else "neutral" if _NEUTRAL.search(unit) else ""
+    if known:
+        for kind, screen in (("filler", _FILLER), ("script", _SCRIPTS), ("error", _ERRORS)):
+            if screen.search(low):
+                return kind
+    return "neutral" if _NEUTRAL.search(unit) else ""
+
+
+def key(unit: str) -> int:
+    """A hash of a unit's skeleton, in which hosts, paths, ids and numbers are gaps too."""
+    return xxhash.xxh64_intdigest(_MASK.sub("#", skeleton(unit)).lower()) - 2**63
 
 
-def _pages(results: DataFrame) -> DataFrame:
-    """table, id, us (units), page (skeleton of the answer, null if long)."""
+def _units(results: DataFrame, known: bool) -> DataFrame:
+    """result_table, result_id, page (hash of the set of skeletons), n (units that say something), bad, made (slots and
+    filler), kind, keys (skeletons of the units that are neither bad nor neutral). The one scan of the texts."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            us, page = [], []
+            out: dict[str, list] = {c: [] for c in ("page", "n", "bad", "made", "kind", "keys")}
             for text in pdf["result_text"]:
-                body = answer(text)
-                u = units(body)
-                us.append(u)
-                flat = " ".join(sorted(set(u))).lower()
-                page.append(_MASK.sub("#", flat) if 0 < len(flat) <= 600 else None)
-            yield pdf[["result_table", "result_id"]].assign(us=us, page=page)
+                us = units(answer(text))
+                kinds, keys = [judge(u, known) for u in us], [key(u) for u in us]
+                bad = [k for k in kinds if k not in ("", "neutral")]
+                out["page"].append(xxhash.xxh64_intdigest(str(sorted(set(keys)))) - 2**63 if keys else None)
+                out["n"].append(sum(k != "neutral" for k in kinds))
+                out["bad"].append(len(bad))
+                out["made"].append(sum(k in ("slot", "filler") for k in bad))
+                out["kind"].append(max(bad, default=None))
+                out["keys"].append([x for x, k in zip(keys, kinds) if k == ""])
+            yield pdf[["result_table", "result_id"]].assign(**out).astype({"page": "Int64"})
 
-    return results.mapInPandas(make, "result_table string, result_id long, us array<string>, page string")
+    return results.mapInPandas(make, "result_table string, result_id long, page long, n int, bad int, made int, kind string, keys array<long>")
 
 
-def residue(tables: dict[str, DataFrame]) -> DataFrame:
+def residue(tables: dict[str, DataFrame], known: bool = True) -> DataFrame:
     """result_table, result_id, kind of each result that is residue. Null and blank texts are none; a redelivered row
     counts once. Results without any unit (only marks) are none."""
+    ids = ["result_table", "result_id"]
     rows = reduce(DataFrame.unionByName, (t.select(F.lit(n).alias("result_table"), "result_id", "result_text") for n, t in tables.items()))
-    rows = rows.where(F.col("result_id").isNotNull()).where(F.length(F.trim(F.regexp_replace("result_text", r"[\s\p{Z}\p{Cf}]+", " "))) > 0).dropDuplicates(["result_table", "result_id"])
-    pages = cut(_pages(rows))
-
-    def induce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i, us in zip(pdf["result_id"], pdf["us"]):
-                for u in us:
-                    s = skeleton(u)
-                    if s.count("¤") >= 2:
-                        out.append((s, " ".join(m[0] for m in _WEAK.finditer(u)) or " ".join(m[0] for m in _SLOT.finditer(u))))
-            yield pd.DataFrame(out, columns=["skeleton", "names"])
-
-    seen = pages.mapInPandas(induce, "skeleton string, names string")
-    # a bounded set: skeletons are templates, kept if filled in at least three ways
-    aligned = seen.groupBy("skeleton").agg(F.approx_count_distinct("names").alias("n")).where("n >= 3").select("skeleton")
-    repeated = pages.where("page is not null").groupBy("page").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("page", F.lit(True).alias("again"))
-    # skeletons meet their units by a join, so neither side has to fit anywhere
-    skeletons = pages.select("result_table", "result_id", F.posexplode("us").alias("at", "u"))
-
-    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[["result_table", "result_id"]].assign(kind=[judge(u) for u in pdf["u"]], skeleton=[s if (s := skeleton(u)).count("¤") >= 2 else None for u in pdf["u"]])
-
-    each = skeletons.mapInPandas(judged, "result_table string, result_id long, kind string, skeleton string")
-    each = each.join(aligned.select("skeleton", F.lit(True).alias("hit")), "skeleton", "left")
-    kind = F.when(F.col("hit") & F.col("kind").isin("", "neutral"), F.lit("slot")).otherwise(F.col("kind"))
-    votes = each.withColumn("kind", kind).groupBy("result_table", "result_id").agg(
-        F.count_if(F.col("kind") != "neutral").alias("n"), F.count_if(~F.col("kind").isin("", "neutral")).alias("bad"), F.count_if(F.col("kind").isin("slot", "filler")).alias("made"), F.max(F.when(F.col("kind") != "neutral", F.col("kind"))).alias("kind")
-    )
-    votes = votes.join(pages.select("result_table", "result_id", "page").join(repeated, "page", "left").select("result_table", "result_id", "again"), ["result_table", "result_id"])
-    whole = (F.col("bad") == F.col("n")) & (F.col("bad") > 0)
-    several = (F.col("made") >= 2) | (F.col("bad") >= 3) & (F.col("bad") * 2 >= F.col("n"))
-    page = F.coalesce("again", F.lit(False)) & (F.col("bad") >= 1)
-    return votes.where(whole | several | page).select("result_table", "result_id", "kind")
+    rows = rows.where(F.col("result_id").isNotNull()).where(F.length(F.trim(F.regexp_replace("result_text", r"[\s\p{Z}\p{Cf}]+", " "))) > 0).dropDuplicates(ids)
+    results = cut(_units(rows, known))
+    least = F.greatest(F.lit(LEAST), F.ceil(results.agg(F.count(F.lit(1))).scalar() * F.lit(RATE)))
+    # one row per result and skeleton; nearly all skeletons are met once and are gone after the first aggregation
+    each = results.select(*ids, F.explode("keys").alias("key")).groupBy(*ids, "key").agg(F.count(F.lit(1)).alias("c"))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least).select("key")
+    again = cut(each.join(often, "key"))
+    found = lambda which, name: which.groupBy(*ids).agg(F.sum("c").alias(name))
+    suspect = results.join(found(again, "r"), ids, "left").select(*ids, ((F.col("bad") + F.coalesce("r", F.lit(0))) * 2 >= F.greatest("n", F.lit(1))).alias("suspect"))
+    templates = again.join(suspect, ids).groupBy("key").agg(F.avg(F.col("suspect").cast("double")).alias("share")).where(F.col("share") >= TOGETHER).select("key")
+    pages = results.where("bad > 0 and page is not null").groupBy("page").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least).select("page", F.lit(True).alias("again"))
+    votes = results.drop("keys").join(found(again.join(templates, "key"), "a"), ids, "left").fillna(0, ["a"])
+    some = votes.where("bad > 0 or a > 0").join(pages, "page", "left")
+    total = F.col("bad") + F.col("a")
+    whole = total == F.col("n")
+    half = (total * 2 >= F.col("n")) & ((F.col("a") > 0) | (F.col("bad") >= 3))
+    return some.where(whole | (F.col("made") >= 2) | half | F.coalesce("again", F.lit(False))).select(*ids, F.coalesce("kind", F.lit("template")).alias("kind"))
 
 
 def clean(name: str, results: DataFrame) -> DataFrame:
