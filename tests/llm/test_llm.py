@@ -160,14 +160,14 @@ def test_residue(spark):
     ("order no. 7565922885 match", set()), ("Epoch 1758398525", set()), ("192.0.2.192", set()), ("port 5515-5616", set()), ("version 2026.03.876-3993", set()), ("package x@1.2.6 pulls", set()), ("@glet.cached", set()), ("2026-05-29 00:18:51", set()),
     ("SSN 968-10-7590", {"id_number"}), ("IBAN DE00 9999 1423 6720 1442 68.", {"id_number"}), ("Steuer-ID 00 210 509 190", {"id_number"}), ("passport no. X22K82841", {"id_number"}), ("Invoice 8885-34-1193", set()),
     ("at 233 Sathimei Lane, Nordfelde", {"street_address"}), ("Calle Mande 4, 5º B, Puerto", {"street_address"}), ("Meiluweg 58, 52919 Quellbrück", {"street_address"}), ("12 rue de Hendo, 93230 Larkenby", {"street_address"}), ("the Silver Lane cluster", set()), ("The Main Street layer has 46 tiles", set()), ("42 The Main Street layer", set()),
-    ("I met Milo Felkbury", {"person_name"}), ("Felkbury, Milo said", {"person_name"}), ("Frau Lindsky", {"person_name"}), ("Maret K. Grimm", {"person_name"}), ("Milo left", set()), ("Project Night Heron", set()), ("milo.felkbury@x.example", {"email"}),
+    ("I met Felix Felkbury", {"person_name"}), ("Felkbury, Felix said", {"person_name"}), ("Frau Lindsky", {"person_name"}), ("Clara K. Grimm", {"person_name"}), ("Felix left", set()), ("Project Night Heron", set()), ("felix.felkbury@x.example", {"email"}),
 ])
 def test_kinds(text, kinds):
     assert {k for _, _, k in personal.find(text)} == kinds
 
 
 def test_redaction_keeps_the_rest():
-    text = "Ä: write to b​ob (at) mail [dot] example, or call +44 7700 900123 – ask for Milo Felkbury!"
+    text = "Ä: write to b​ob (at) mail [dot] example, or call +44 7700 900123 – ask for Felix Felkbury!"
     assert personal.redact(text) == "Ä: write to [EMAIL], or call [PHONE] – ask for [PERSON_NAME]!"
     assert personal.redact(None) is None and personal.redact("") == ""
 
@@ -190,7 +190,7 @@ def test_redacted_query_has_notes(spark, tmp_path):
 
 
 def test_findings(spark):
-    e = eps(spark, [(1, "s", 1, "p", "call +44 7700 900123", "Milo Felkbury did", 0), (1, "s", 1, "p", "call +44 7700 900123", "Milo Felkbury did", 0), (2, "s", 2, None, None, "x", 0)])
+    e = eps(spark, [(1, "s", 1, "p", "call +44 7700 900123", "Felix Felkbury did", 0), (1, "s", 1, "p", "call +44 7700 900123", "Felix Felkbury did", 0), (2, "s", 2, None, None, "x", 0)])
     n = spark.createDataFrame([(7, "bob@x.example"), (8, None)], "id long, body string")
     got = {tuple(r) for r in personal.findings(e, n).collect()}
     assert got == {("episodes", 1, "human_turn", "phone"), ("episodes", 1, "content", "phone"), ("episodes", 1, "content", "person_name"), ("notes", 7, "body", "email")}
@@ -442,3 +442,15 @@ def test_residue_without_lists(spark):
     tables = {t: read(spark, "/root/testdata/sf0.1", t) for t in catalogue.RESULTS}
     full, bare = ({tuple(r) for r in residue.residue(tables, known=k).select("result_table", "result_id").collect()} for k in (True, False))
     assert len(full & bare) / len(full) >= 0.9 and len(bare - full) / len(bare) <= 0.02
+
+
+def test_names_are_learnt(spark):
+    surnames = [f"{a}{b}" for a in ("Felk", "Grimm", "Zand", "Harro", "Linde") for b in ("bury", "wick", "sky")]
+    rng, rows = random.Random(1), []
+    for i in range(40):
+        rows.append(f"Yesterday {rng.choice(['Qumo', 'Tavli', 'Orbin'])} {rng.choice(surnames)} asked about the Silver Lane cluster and the Thema Akkord.")
+        rows.append(f"The Thema Akkord of Kousae was late, says Frau {rng.choice(surnames)}. Akkord and Lane again.")
+    got = personal.given_names(spark.createDataFrame([(x,) for x in [*rows, None, ""]], "text string"))
+    assert got == {"qumo", "tavli", "orbin"}
+    assert {k for _, _, k in personal.find("I met Qumo Felkbury", got)} == {"person_name"} and not personal.find("I met Qumo Felkbury")
+    assert personal.given_names(spark.createDataFrame([], "text string")) == frozenset()

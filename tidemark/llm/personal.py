@@ -7,6 +7,10 @@ everything else of the text stays as it is. Plain texts take the short way: no d
 
 Types: email, phone, id_number, street_address, person_name. Where candidates overlap the earlier type of ORDER wins.
 Null and empty texts hold nothing.
+
+Given names are learnt from the corpus itself (given_names): words met within sentences before two or more different
+words that hardly occur without such a word before them, which are surnames. A short list of common names and forms of
+address serve where the corpus is too small, and unknown names are found with a cue before and after.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.textnorm import INVISIBLE, LOOKALIKES
+from tidemark.session import cut
 
 ORDER = ("email", "id_number", "phone", "street_address", "person_name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[STREET_ADDRESS]", "person_name": "[PERSON_NAME]"}
@@ -145,20 +150,24 @@ _ADDRESS = re.compile(
     rf"|\b\d{{1,4}}(?: ?(?:bis|ter))?,? (?:rue|avenue|av\.|boulevard|bd|place|chemin|allée|impasse|quai|route)(?: (?:de|du|des|de la|de l'|d'))? ?{_CAPS}(?: {_CAPS})?{_UNIT}?{_PLACE}"
 )
 
-# Given names of many languages.
+# Common given names of several languages, for corpora too small to learn from.
 GIVEN_NAMES = frozenset("""
 Aaron Abigail Adam Adrian Agnes Aisha Albert Alejandro Alexander Alexandra Alice Amelia Amir Ana Andrea Andreas Andrew Anna Anneke Anthony Antonio
-Anton Arthur Astrid Beatrice Benjamin Bernard Birgit Bram Brigitte Bruno Calista Carla Carlos Carmen Caroline Catherine Charles Charlotte Chloe
-Christian Christine Christopher Clara Claudia Daniel David Deborah Diego Dimitri Dorin Dorothy Edward Elena Elias Elisabeth Elizabeth Ella Eluned
-Emily Emma Eric Erik Esther Eva Fatima Felix Fenno Fernando Fiona Francisco Frank Franz Friedrich Gabriel George Gerhard Gisla Giulia Grace Greta
-Gwendolyn Hakon Hannah Hans Heinrich Helen Helga Henry Hugo Ian Ilvo Ines Ingrid Isaura Isabel Ivan Jack Jacob James Jan Jane Javier Jean Jennifer
-Jessica Joachim Johann John Jorge Jorun Jose Joseph Juan Julia Julian Kalle Karen Karl Katharina Kevin Klaus Lars Laura Leah Leo Leocadia Leon Linda
-Lisa Louis Lucas Lucia Luis Lukas Magdalena Manuel Maret Margaret Maria Mark Markus Marta Martin Mary Matthew Michael Miguel Mila Milo Mohammed
-Monika Nadia Natalia Nerys Nicholas Nicole Nina Noah Oliver Olivia Orla Oscar Pablo Patricia Patrick Paul Pedro Peter Petra Philip Piet Pierre Quirin
-Rachel Raul Rebecca Richard Robert Rosa Rosalba Ruth Samuel Sander Sara Sarah Sebastian Sofia Stefan Stephen Sunna Susan Sven Teresa Thirza Thomas
-Tobias Tomas Torvald Ulrik Ursula Vera Vesna Victor Vincent Walter Werner William Wolfgang Wystan Xenia Yasmin Yorick Ysolde Yusuf Zelda Zoe
+Anton Arthur Astrid Beatrice Benjamin Bernard Birgit Brigitte Bruno Carla Carlos Carmen Caroline Catherine Charles Charlotte Chloe Christian Christine
+Christopher Clara Claudia Daniel David Deborah Diego Dimitri Dorothy Edward Elena Elias Elisabeth Elizabeth Ella Emily Emma Eric Erik Esther Eva
+Fatima Felix Fernando Fiona Francisco Frank Franz Friedrich Gabriel George Gerhard Giulia Grace Greta Gwendolyn Hannah Hans Heinrich Helen Helga Henry
+Hugo Ian Ines Ingrid Isabel Ivan Jack Jacob James Jan Jane Javier Jean Jennifer Jessica Joachim Johann John Jorge Jose Joseph Juan Julia Julian Karen
+Karl Katharina Kevin Klaus Lars Laura Leah Leo Leon Linda Lisa Louis Lucas Lucia Luis Lukas Magdalena Manuel Margaret Maria Mark Markus Marta Martin
+Mary Matthew Michael Miguel Mila Mohammed Monika Nadia Natalia Nicholas Nicole Nina Noah Oliver Olivia Oscar Pablo Patricia Patrick Paul Pedro Peter
+Petra Philip Pierre Rachel Raul Rebecca Richard Robert Rosa Ruth Samuel Sara Sarah Sebastian Sofia Stefan Stephen Susan Sven Teresa Thomas Tobias
+Tomas Ursula Vera Victor Vincent Walter Werner William Wolfgang Yasmin Yusuf Zoe
 """.split())
 _GIVEN = frozenset(n.casefold() for n in GIVEN_NAMES)
+# Forms of address and street words that stand before names, in lower case.
+_FORMS = frozenset("mr mrs ms miss mx dr prof professor herr herrn frau señor señora señorita sr sra srta don doña mme mlle monsieur madame sir dame lady lord calle avenida paseo plaza camino carrera ronda via viale corso piazza rue avenue boulevard place".split())
+#: Different surnames that make a given name, share of a surname's uses after a given name, and share of all pairs that
+#: a name must have: so there are at most 1 / RATE learnt names, whatever the corpus.
+SURNAMES, PAIRED, RATE = 2, 0.7, 1e-5
 _TITLE = re.compile(rf"(?<![\w])(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Professor|Herrn?|Frau|Señora?|Señorita|Sra?|Srta|Don|Doña|Mme|Mlle|Monsieur|Madame|M|Sir|Dame|Lady|Lord)(?:\. ?| )(?:(?:Dr|Prof|med|Ing)\. ?)*({_CAPS}(?: (?:de|von|van|der|la|den) )?(?: {_CAPS})?)")
 _TITLE_HINT = re.compile(r"(?<!\w)(?:M[rsx]s?|Miss|Dr|Prof\w*|Herrn?|Frau|Señor\w*|Srt?a?|Do[nñ]a?|Mme|Mlle|Monsieur|Madame|M|Sir|Dame|Lady|Lord)\b\.? ?[A-ZÄÖÜÁÉÍÓÚÑ]")
 _PAIR = re.compile(r"(?<![\w@.'/-])([A-ZÄÖÜÁÉÍÓÚÑØŠČŽ][\w'’-]+)(,?) (?:[A-Z]\.? )?(?:(?:de|von|van|der|la|den|da|di|del) ){0,2}(?=([A-ZÄÖÜÁÉÍÓÚÑØŠČŽ][\w'’-]+))")
@@ -213,7 +222,27 @@ def _numbers(t: str, out: list[tuple[int, int, str]]) -> None:
             out.append((lo, hi, "phone"))
 
 
-def _names(t: str, out: list[tuple[int, int, str]]) -> None:
+def given_names(texts: DataFrame) -> frozenset[str]:
+    """Given names, lower case, learnt from a frame with a column `text`; a repeated text counts as often as it is there.
+
+    What is shuffled is counts of capitalised words and of their pairs, summed per task; the driver gets at most 1 / RATE
+    names. JVM only.
+    """
+    cap = r"\\p{Lu}\\p{Ll}[\\p{Ll}'’-]*"
+    pair = rf"((?<=[\\p{{Ll}},;:(]) )?(?<![\\p{{L}}\\d@.'/-])({cap})(?= (?:\\p{{Lu}}\\. ?)?(?:(?:de|von|van|der|la|den|da|di|del) ){{0,2}}({cap})(?![\\p{{L}}\\d@]))"
+    got = lambda p, g: F.expr(f'regexp_extract_all(text, "{p}", {g})')
+    texts = texts.where("text is not null").select("text")
+    pairs = texts.select(F.explode(F.arrays_zip(got(pair, 1).alias("m"), got(pair, 2).alias("a"), got(pair, 3).alias("b"))).alias("p")).select("p.*")
+    pairs = cut(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("m") == " ").alias("mid")))
+    words = texts.select(F.explode(got(rf"(?<![\\p{{L}}\\d@.'/-]){cap}(?![\\p{{L}}\\d@])", 0)).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("uses"))
+    behind = pairs.groupBy("b").agg(F.sum("n").alias("after")).join(words, "b").where(F.col("after") >= PAIRED * F.col("uses")).select("b", F.lit(True).alias("surname"))
+    per = pairs.join(behind, "b", "left").groupBy("a").agg(F.count_if("surname").alias("d"), F.sum(F.when(F.col("surname"), F.col("n")).otherwise(0)).alias("good"), F.sum("n").alias("n"), F.sum("mid").alias("mid"))
+    all_ = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    kept = per.where((F.col("d") >= SURNAMES) & (F.col("good") >= 0.6 * F.col("n")) & (F.col("mid") >= 0.2 * F.col("n")) & (F.col("n") >= RATE * all_))
+    return frozenset(r[0].casefold() for r in kept.select("a").collect()) - _FORMS - _THINGS - _NOT_SURNAME
+
+
+def _names(t: str, out: list[tuple[int, int, str]], given: frozenset[str]) -> None:
     if _TITLE_HINT.search(t):
         for m in _TITLE.finditer(t):
             w, *more = m[1].split()
@@ -227,15 +256,15 @@ def _names(t: str, out: list[tuple[int, int, str]]) -> None:
         if fb in _NOT_SURNAME or fb in _THINGS or fa in _NOT_SURNAME:
             continue
         if comma:
-            if fb in _GIVEN and fa not in _GIVEN and len(a) > 2 and not re.match(r" [A-ZÄÖÜ][a-z]", t[hi : hi + 3]) or fb in _GIVEN and _CUE_BEFORE.search(t[max(0, m.start() - 40) : m.start()]):
+            if fb in given and fa not in given and len(a) > 2 and not re.match(r" [A-ZÄÖÜ][a-z]", t[hi : hi + 3]) or fb in given and _CUE_BEFORE.search(t[max(0, m.start() - 40) : m.start()]):
                 out.append((m.start(), hi, "person_name"))
-        elif fa in _GIVEN:
+        elif fa in given:
             out.append((m.start(), hi, "person_name"))
         elif not comma and a[1:].islower() and b[1:].islower() and _CUE_BEFORE.search(t[max(0, m.start() - 40) : m.start()]) and _CUE_AFTER.search(t[hi : hi + 24]):
             out.append((m.start(), hi, "person_name"))
 
 
-def find(text: str) -> list[tuple[int, int, str]]:
+def find(text: str, given: frozenset[str] = _GIVEN) -> list[tuple[int, int, str]]:
     """(start, end, type) of what a text holds, in source characters, in order and without overlaps."""
     plain = Plain(text)
     t = plain.text
@@ -245,72 +274,79 @@ def find(text: str) -> list[tuple[int, int, str]]:
     _numbers(t, spans)
     if _STREET_KEYS.search(t):
         spans += [(m.start(), m.end(), "street_address") for m in _ADDRESS.finditer(t)]
-    _names(t, spans)
+    _names(t, spans, given)
     if not spans:
         return []
     kept: list[tuple[int, int, str]] = []
     for s in sorted(spans, key=lambda s: (ORDER.index(s[2]), s[0] - s[1])):
-        if all(s[1] <= k[0] or k[1] <= s[0] for k in kept):
-            kept.append(s)
-    return [(*plain.source(a, b), kind) for a, b, kind in sorted(kept)]
+        k = bisect_right(kept, s)  # kept spans are apart and in order, so only the neighbours can overlap
+        if (not k or kept[k - 1][1] <= s[0]) and (k == len(kept) or s[1] <= kept[k][0]):
+            kept.insert(k, s)
+    return [(*plain.source(a, b), kind) for a, b, kind in kept]
 
 
-def redact(text: str | None) -> str | None:
+def redact(text: str | None, given: frozenset[str] = _GIVEN) -> str | None:
     """A text with every finding replaced by the placeholder of its type."""
     if not text:
         return text
     out, last = [], 0
-    for lo, hi, kind in find(text):
+    for lo, hi, kind in find(text, given):
         out += [text[last:lo], PLACEHOLDER[kind]]
         last = hi
     return "".join([*out, text[last:]])
 
 
-def redacted(col: Column | str) -> Column:
+def redacted(col: Column | str, given: frozenset[str] = _GIVEN) -> Column:
     """redact() as a column."""
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(redact, na_action="ignore")
+        return s.map(lambda x: redact(x, given), na_action="ignore")
 
     return run(col)
 
 
+def _texts(episodes: DataFrame, notes: DataFrame) -> DataFrame:
+    """What names are learnt from; content holds the question too."""
+    return episodes.select(F.col("content").cast("string").alias("text")).unionByName(notes.select(F.col("body").cast("string").alias("text")))
+
+
 def redactions(episodes: DataFrame, notes: DataFrame) -> DataFrame:
     """item_table, item_id, field, text: each field with placeholders, null ones too. A redelivered row counts once."""
-    out = None
+    given, out = _GIVEN | given_names(_texts(episodes, notes)), None
     for table, df, fields in (("episodes", episodes, ("human_turn", "content")), ("notes", notes, ("body",))):
         each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields))).alias("x")
         rows = df.select("id", *fields).distinct().select(F.lit(table).alias("item_table"), F.col("id").cast("long").alias("item_id"), each)
         out = rows if out is None else out.unionByName(rows)
-    return out.select("item_table", "item_id", "x.field", redacted("x.text").alias("text"))
+    return out.select("item_table", "item_id", "x.field", redacted("x.text", given).alias("text"))
 
 
 def findings(episodes: DataFrame, notes: DataFrame) -> DataFrame:
     """item_table, item_id, field, pii_type: what each field holds at least once.
 
-    A scan with no shuffle but that of the findings. Where content begins with the question, as it is written, both
+    A scan with no shuffle but that of the findings, after one for the given names. Where content begins with the question, as it is written, both
     are read in one go. Rows without an id are left out.
     """
     schema = "item_table string, item_id long, field string, pii_type string"
+    given = _GIVEN | given_names(_texts(episodes, notes))
 
     def in_episodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows: list[tuple] = []
             for i, q, c in zip(pdf["id"], pdf["human_turn"], pdf["content"]):
                 at = len("Human: ")
-                spans = find(c) if c else []
+                spans = find(c, given) if c else []
                 if q and c and c.startswith(q, at) and c.startswith("\n\nAssistant:", at + len(q)):
                     inner = {k for a, b, k in spans if a >= at and b <= at + len(q)}
                 else:
-                    inner = {k for _, _, k in find(q)} if q else set()
+                    inner = {k for _, _, k in find(q, given)} if q else set()
                 rows += [("episodes", i, "content", k) for k in {k for _, _, k in spans}]
                 rows += [("episodes", i, "human_turn", k) for k in inner]
             yield pd.DataFrame(rows, columns=["item_table", "item_id", "field", "pii_type"])
 
     def in_notes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [("notes", i, "body", k) for i, x in zip(pdf["id"], pdf["body"]) if x for k in {k for _, _, k in find(x)}]
+            rows = [("notes", i, "body", k) for i, x in zip(pdf["id"], pdf["body"]) if x for k in {k for _, _, k in find(x, given)}]
             yield pd.DataFrame(rows, columns=["item_table", "item_id", "field", "pii_type"])
 
     return (
