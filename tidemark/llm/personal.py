@@ -45,17 +45,29 @@ _AT = re.compile(r"(?i)(?<=[\w]) ?[\[({<] ?(?:at|ät|arroba|arobase|a|@) ?[\])}>
 _DOT = re.compile(r"(?i)(?<=\w) ?[\[({<] ?(?:dot|punkt|punto|point|\.) ?[\])}>] ?(?=\w)|(?<=\w) (?:dot|punkt|punto) (?=\w)|&#0*46;|&period;")
 _HINT = re.compile(r"(?i)[\[({<] ?(?:at|ät|arroba|arobase|a|@) ?[\])}>]|\b(?:at|ät|arroba|arobase|klammeraffe) [\w-]+ ?[\[({<]? ?(?:dot|punkt|punto|point)\b|&#|&commat;|%40|& ?period;")
 _ZERO_WIDTH = frozenset(INVISIBLE)
+#: Anything but ASCII, the letters of Latin-1 and marks that stay as they are: only such texts are read by character.
+_UNUSUAL = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ¿¡«»“”„‘’€]")
+_ATS, _DOTS = frozenset(("at", "ät", "arroba", "arobase", "klammeraffe")), frozenset(("dot", "punkt", "punto", "point"))
+_DOUBLES = frozenset(("double", "triple"))
+
+
+def _tokens(low: str) -> list[str]:
+    """The words of a lower-case text, cheaply: what stands between white space and the usual marks."""
+    for c in ",.-()[]{}<>:;/'\"|":
+        if c in low:
+            low = low.replace(c, " ")
+    return low.split()
 
 
 class Plain:
     """A text in plain form and the place of each of its characters in the source."""
 
-    __slots__ = ("text", "at", "size")
+    __slots__ = ("text", "at", "size", "low", "tokens")
 
     def __init__(self, text: str):
         self.size = len(text)
         self.at: list[int] | None = None
-        if not text.isascii():
+        if not text.isascii() and _UNUSUAL.search(text):
             chars, at = [], []
             same = True
             for i, c in enumerate(text):
@@ -74,10 +86,16 @@ class Plain:
                 at += [i] * len(out)
             text = "".join(chars)
             self.at = None if same else at
-        if _HINT.search(text):
+        self.low = text.lower()
+        self.tokens = words = _tokens(self.low)
+        # the patterns of disguises are tried only where their words are
+        known = frozenset(words)
+        bracket = "(" in text or "[" in text or "<" in text or "{" in text
+        at_word = not known.isdisjoint(_ATS)
+        if ("&" in text or "%40" in text or (at_word and (bracket or not known.isdisjoint(_DOTS))) or (bracket and ("@" in text or "a" in known))) and _HINT.search(text):
             text = self._rewrite(text, _AT, lambda m: "@")
             text = self._rewrite(text, _DOT, lambda m: ".") if "@" in text else text
-        if _SPELLED_HINT.search(text):
+        if sum(w in DIGIT_WORDS for w in words) >= 3 and _SPELLED_HINT.search(text):
             text = self._rewrite(text, _SPELLED, self._digits)
         self.text = text
 
@@ -133,11 +151,21 @@ _NOT_PHONE = re.compile(r"(?i)(?:\b(?:order|invoice|ticket|case|issue|commit|epo
 _PHONE_CUE = re.compile(r"(?i)(?:\b(?:tel\w*|phone|mobile|mobil|handy|cell|call|text|sms|whatsapp|fax|ring|reach|callback|number|nummer|móvil|erreichbar|llámame|llamar?|anrufen|rufnummer|contact|signal)\b[^\d\n]{0,24}|\|\s*|^\s*|\n\s*)$")
 _NANP = re.compile(r"(?:\+?1[-. ]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[-. ])[2-9]\d\d[-. ]\d{4}$")
 
-_STREET_KEYS = re.compile(
-    r"(?i)(?:straße|strasse|str\.|weg|gasse|allee|platz|ufer|damm|ring|chaussee|steig|pfad|graben|markt) \d|\d[a-z]?,? (?:bis |ter )?(?:rue|avenue|av\.|boulevard|bd|place|chemin|allée|impasse|quai|route|via|viale|piazza) |"
-    r"\b(?:calle|c/|avenida|avda\.?|av\.|paseo|plaza|camino|carrera|ronda|travesía|via|viale|corso|piazza)\b|"
-    r"\b(?:street|st|road|rd|avenue|ave|lane|ln|drive|dr|court|ct|square|sq|terrace|boulevard|blvd|close|crescent|way|place|pl|highway|hwy|parkway|grove|gardens|row|hill|mews)\b"
-)
+# Words of streets, of which an address has one; and endings of German ones, which a number follows.
+_STREET_WORDS = frozenset("""street st road rd avenue ave lane ln drive dr court ct square sq terrace boulevard blvd close crescent way place pl highway hwy parkway grove gardens row hill mews
+calle c avenida avda av paseo plaza camino carrera ronda travesía via viale corso piazza rue bd chemin allée impasse quai route""".split())
+_STREET_ENDS = ("straße", "strasse", "str.", "weg", "gasse", "allee", "platz", "ufer", "damm", "ring", "chaussee", "steig", "pfad", "graben", "markt")
+_NUMBERED = re.compile(r"(?<=[^\W\d_]) (?=\d)|(?<=\.) (?=\d)")
+
+
+def _has_street(plain: Plain) -> bool:
+    """Whether an address can be in a text: it has a street word, or a word with a street's ending before a number."""
+    if not _STREET_WORDS.isdisjoint(plain.tokens):
+        return True
+    low = plain.text.lower()
+    return any(low.endswith(_STREET_ENDS, 0, m.start()) for m in _NUMBERED.finditer(low))
+
+
 _CAPS = r"[A-ZÄÖÜÁÉÍÓÚÑ][\w'’-]*"
 _EN = r"(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Drive|Dr\.?|Court|Ct\.?|Square|Sq\.?|Terrace|Boulevard|Blvd\.?|Close|Crescent|Way|Place|Pl\.?|Highway|Hwy\.?|Parkway|Grove|Gardens|Row|Hill|Mews)(?!\w)"
 _UNIT = r"(?:, ?(?:Apt|Apartment|Flat|Unit|Suite|Ste|No)\.? ?\w{1,5}|, ?\d{1,2}(?:st|nd|rd|th) floor|, ?\d{1,2}\.? ?(?:Stock|OG|Etage)|, ?\d{1,2}[ºª°](?: ?[A-Z0-9]{1,3}\b)?|, ?(?:bajo|ático|entresuelo)(?: [A-Z])?)"
@@ -272,7 +300,7 @@ def find(text: str, given: frozenset[str] = _GIVEN) -> list[tuple[int, int, str]
     if "@" in t:
         spans = [(m.start(), m.end(), "email") for m in _EMAIL.finditer(t)]
     _numbers(t, spans)
-    if _STREET_KEYS.search(t):
+    if any(c in t for c in "0123456789") and _has_street(plain):
         spans += [(m.start(), m.end(), "street_address") for m in _ADDRESS.finditer(t)]
     _names(t, spans, given)
     if not spans:
