@@ -102,8 +102,9 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
-    model = subjects.train(docs, read(spark, d, "subjects"), read(spark, d, "subject_labels"))
-    return subjects.assign(docs, model).select("doc_id", "subject")
+    parsed = subjects.parse(docs)
+    model = subjects.train(docs, read(spark, d, "subjects"), read(spark, d, "subject_labels"), parsed=parsed)
+    return subjects.assign(docs, model, parsed=parsed).select("doc_id", "subject")
 
 
 def queries():

@@ -7,8 +7,11 @@ its terms, scaled by their rarity in the corpus and by the length of the sentenc
 exceeds a threshold calibrated on the labels. A document has every subject that at least a quarter of its sentences
 are about.
 
-The fit runs on the driver over a bounded sample of labelled documents (MAX_LABELLED, by hash of the id); rarity is
-counted over all documents. Null, empty and blank texts and bare machine output have no subject.
+The fit runs on the driver over a bounded sample of labelled documents (MAX_LABELLED, by hash of the id); rarity and the
+share of a term's use that falls to a subject are counted over all documents with sentences. Terms are weighed in Spark,
+and of those with a weight the MAX_TERMS heaviest make the model, whose size is thereby bounded. Texts are cut into
+sentences once; the two passes after that read the sentences. Null, empty and blank texts and bare machine output have
+no subject.
 """
 
 from __future__ import annotations
@@ -20,13 +23,18 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents used for the fit at most, and terms kept at most.
-MAX_LABELLED, MAX_TERMS = 6000, 60_000
+from tidemark.session import scratch
+
+#: Labelled documents used for the fit at most, and terms with a weight kept at most.
+MAX_LABELLED, MAX_TERMS = 6000, 200_000
 #: Share of a document's sentences that makes a subject.
 SHARE = 0.25
+#: Passes over the corpus that extend the terms.
+EXPANSIONS = 1
 _LINE = re.compile(r"^\s*(?:(?:Human|Assistant|User|System|Preference|Note|Summary)[^:\n]{0,80}:|\[\d+\]|\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d)?)?|[-*•>]+|\d{1,3}[.)])\s*", re.I)
 _SKIP = re.compile(r"^\s*(?:#|\$ |Links:|https?://|[{}\]<|]|\[[{\[\"]|```|---|Web search results|Traceback|at \w+ ?\()")
 _SENT = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+")
@@ -58,12 +66,13 @@ def _terms(words: list[str]) -> set[str]:
 class Model:
     """Terms with a weight per subject, and the threshold of a sentence."""
 
-    def __init__(self, subjects: list[str], weights: dict[str, dict[int, float]], threshold: float = 0.0):
-        self.subjects, self.weights, self.threshold = subjects, weights, threshold
+    def __init__(self, subjects: list[str], weights: dict[str, dict[int, float]], threshold: float = 0.0, scaled: bool = False):
+        """scaled: the weights hold the rarity of their terms already."""
+        self.subjects, self.weights, self.threshold, self.scaled = subjects, weights, threshold, scaled
         self._auto = None
 
     def __getstate__(self):
-        return {"subjects": self.subjects, "weights": self.weights, "threshold": self.threshold, "_auto": None}
+        return {"subjects": self.subjects, "weights": self.weights, "threshold": self.threshold, "scaled": self.scaled, "_auto": None}
 
     def automaton(self):
         if self._auto is None:
@@ -86,9 +95,8 @@ class Model:
         best = max(score, key=score.get)
         return best, (top[0] - (top[1] if len(top) > 1 else 0.0)) / math.sqrt(len(words))
 
-    def shares(self, text: str | None) -> dict[int, float]:
+    def shares(self, ss: list[list[str]]) -> dict[int, float]:
         """Share of the prose sentences about each subject."""
-        ss = sentences(text) if text else []
         hits = Counter()
         for w in ss:
             s, lead = self.subject(w)
@@ -172,39 +180,61 @@ def calibrate(model: Model, docs: list[tuple[str, list[str]]]) -> Model:
     return model
 
 
-def train(documents: DataFrame, subjects: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
+def parse(documents: DataFrame) -> DataFrame:
+    """doc_id and sentences (words joined by spaces) of the documents with any: the one scan of the texts, written to the
+    shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, out = [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ss = [" ".join(w) for w in sentences(t)] if t else []
+                if ss:
+                    ids.append(i)
+                    out.append(ss)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "ss"])
+
+    at = scratch(documents.sparkSession, "sentences")
+    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows.mapInArrow(run, "doc_id long, ss array<string>").write.parquet(at)
+    return documents.sparkSession.read.parquet(at)
+
+
+def train(documents: DataFrame, subjects: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, parsed: DataFrame | None = None) -> Model:
     """Fit, weigh by corpus rarity and calibrate. The sample of labelled documents is bounded, the corpus isn't."""
-    names = [(r["subject"], r["scope"]) for r in subjects.where("subject is not null").groupBy("subject").agg(F.min("scope").alias("scope")).orderBy("subject").limit(1000).collect()]
+    # one row per subject area
+    names = [(r["subject"], r["scope"]) for r in subjects.where("subject is not null").groupBy("subject").agg(F.min("scope").alias("scope")).orderBy("subject").collect()]
     want = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("labels"))
     want = want.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = documents.select("doc_id", "text").join(want, "doc_id").toPandas().sort_values("doc_id")
     docs = list(zip(rows["text"], rows["labels"].map(list)))
     docs = [(t, ls) for t, ls in docs if t]
     model = fit(docs, names)
-    for _ in range(2):
-        model = expand(calibrate(model, docs), documents)
+    parsed = parse(documents) if parsed is None else parsed
+    for _ in range(EXPANSIONS):
+        model = expand(calibrate(model, docs), parsed)
     return calibrate(model, docs)
 
 
-def expand(model: Model, documents: DataFrame) -> Model:
+def expand(model: Model, parsed: DataFrame) -> Model:
     """The model with the words of the whole corpus: in each document whose recognised sentences agree on a subject,
-    every word not in a sentence of another subject counts for it. Rarity is the number of documents of a word."""
+    every word not in a sentence of another subject counts for it. Rarity is the number of all documents of a word, and a
+    word must be of one subject wherever it is recognised and not be met mostly elsewhere."""
     k = len(model.subjects)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = parsed.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS terms, and those of the labels
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, seen = shared.value, Counter()
+        m, seen, every = shared.value, Counter(), Counter()
 
         def out() -> pd.DataFrame:
-            return pd.DataFrame([(t, s, n) for (t, s), n in seen.items()], columns=["term", "subject", "n"])
+            return pd.DataFrame([(t, s, n) for (t, s), n in seen.items()] + [(t, -1, n) for t, n in every.items()], columns=["term", "subject", "n"])
 
         for pdf in batches:
-            for text in pdf["text"]:
-                ss = sentences(text) if text else []
-                if not ss:
-                    continue
-                seen["", -1] += 1
-                said = [m.subject(w) for w in ss]
+            for ss in pdf["ss"]:
+                every[""] += 1
+                ws = [set(x.split()) for x in ss]
+                every.update(set().union(*ws))
+                said = [m.subject(x.split()) for x in ss]
                 votes = Counter(s for s, lead in said if s >= 0 and lead >= m.threshold)
                 if not votes:
                     continue
@@ -212,44 +242,52 @@ def expand(model: Model, documents: DataFrame) -> Model:
                 if n < 0.8 * sum(votes.values()) or n < 0.4 * len(ss):
                     continue
                 seen["", top] += 1
-                for t in {t for w, (s, lead) in zip(ss, said) if s == top or lead < m.threshold for t in w if len(t) > 2}:
-                    seen[t, top] += 1
-            if len(seen) > 300_000:
+                seen.update((t, top) for t in set().union(*(w for w, (s, lead) in zip(ws, said) if s == top or lead < m.threshold)))
+            if len(seen) + len(every) > 300_000:
                 yield out()
                 seen.clear()
+                every.clear()
         yield out()
 
-    counts = documents.select("text").mapInPandas(count, "term string, subject int, n long").groupBy("term", "subject").agg(F.sum("n").alias("n"))
-    per = counts.groupBy("term").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.map_from_entries(F.collect_list(F.struct("subject", "n"))).alias("by"))
-    # a list per word of at most one entry per subject; the words kept are bounded
-    rows = per.where("all >= 4 and most * 2 >= all or term = ''").orderBy(F.desc("all"), "term").limit(MAX_TERMS).toPandas()
-    totals = dict(rows.loc[rows["term"] == "", "by"].iloc[0]) if (rows["term"] == "").any() else {}
+    counts = parsed.select("ss").mapInPandas(count, "term string, subject int, n long").groupBy("term", "subject").agg(F.sum("n").alias("n"))
+    where = scratch(parsed.sparkSession, "terms")
+    counts.write.parquet(where)
+    counts = parsed.sparkSession.read.parquet(where)
+    totals = {r["subject"]: r["n"] for r in counts.where("term = ''").collect()}  # one row per subject
     docs = max(totals.pop(-1, 1), 1)
-    weights = {t: w for t, w in model.weights.items() if " " in t}
-    for t, n, by in zip(rows["term"], rows["all"], rows["by"]):
-        if not t:
-            continue
-        rate = {s: v / totals[s] for s, v in dict(by).items() if totals.get(s)}
-        if not rate:
-            continue
-        best = max(rate, key=rate.get)
-        p = (rate[best] / sum(rate.values()) * n + 2.0 / k) / (n + 2)
-        if p >= 0.6:
-            rare = min(1.0, 0.4 + math.log((1 + docs) / (1 + n)) / math.log(1 + docs))
-            weights[t] = {best: math.log(p * k) * rare}
+    if not totals:
+        return model
+    rate = F.col("n") / F.element_at(F.create_map(*(F.lit(x) for p in totals.items() for x in p)), F.col("subject"))
+    per = counts.where(F.length("term") > 2).groupBy("term").agg(
+        F.sum(F.when(F.col("subject") >= 0, F.col("n"))).alias("said"), F.max(F.when(F.col("subject") < 0, F.col("n"))).alias("df"),
+        F.sum(F.when(F.col("subject") >= 0, rate)).alias("rates"), F.max(F.when(F.col("subject") >= 0, F.struct(rate.alias("rate"), "subject"))).alias("best"),
+    )
+    p = (F.col("best.rate") / F.col("rates") * F.col("said") + 2.0 / k) / (F.col("said") + 2)
+    rare = F.least(F.lit(1.0), 0.4 + F.log((F.lit(1.0) + docs) / (1 + F.col("df"))) / math.log(1 + docs))
+    kept = per.where((F.col("said") >= 4) & (p >= 0.6) & (F.col("said") * 4 >= F.col("df"))).select("term", F.col("best.subject").alias("s"), (F.log(p * k) * rare).alias("w"), "said")
+    rows = kept.orderBy(F.desc(F.col("w") * F.log1p("said")), "term").limit(MAX_TERMS).toPandas()
+    weights = {t: {int(s): w} for t, s, w in zip(rows["term"], rows["s"], rows["w"])}
+    # the words of the labels' terms, at most those of MAX_LABELLED documents
+    own = sorted({(x,) for t in model.weights for x in t.split()})
+    known = parsed.sparkSession.createDataFrame(own, "term string")
+    frequent = dict(counts.where("subject = -1").join(F.broadcast(known), "term").select("term", "n").collect())
     for t, w in model.weights.items():
-        weights.setdefault(t, w)
-    return Model(model.subjects, weights)
+        if t not in weights:
+            n = min((frequent.get(x, 1) for x in t.split()), default=1)
+            scale = min(1.0, 0.4 + math.log((1 + docs) / (1 + n)) / math.log(1 + docs))
+            weights[t] = {s: v * (1.0 if model.scaled else scale) for s, v in w.items()}
+    return Model(model.subjects, weights, scaled=True)
 
 
-def assign(documents: DataFrame, model: Model, share: float = SHARE) -> DataFrame:
+def assign(documents: DataFrame, model: Model, share: float = SHARE, parsed: DataFrame | None = None) -> DataFrame:
     """doc_id, subject, share: every subject that at least `share` of a document's sentences are about."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS terms
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS terms, and those of the labels
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in batches:
-            rows = [(i, m.subjects[s], v) for i, t in zip(pdf["doc_id"], pdf["text"]) for s, v in m.shares(t).items() if v >= share]
+            rows = [(i, m.subjects[s], v) for i, ss in zip(pdf["doc_id"], pdf["ss"]) for s, v in m.shares([x.split() for x in ss]).items() if v >= share]
             yield pd.DataFrame(rows, columns=["doc_id", "subject", "share"])
 
-    return documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, subject string, share double").distinct()
+    parsed = parse(documents) if parsed is None else parsed
+    return parsed.mapInPandas(run, "doc_id long, subject string, share double").distinct()

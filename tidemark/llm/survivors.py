@@ -124,16 +124,14 @@ def survivors(notes: DataFrame) -> DataFrame:
     return suppliers(notes).groupBy("group_min_id").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS))
 
 
-#: Sources kept apart in the fusion; rarer ones count as one.
-MAX_SOURCES = 64
 #: Values a field could wrongly have, chance that a copier copies, prior chance that one source copies another.
 FALSE_VALUES, COPY, PRIOR = 20, 0.8, 0.1
 
 
-def claims(notes: DataFrame) -> DataFrame:
-    """obj (group key), field, source, value: what each source says of each group. The source of a note is the kind of
-    its source_ref with its embed_model; repeated claims of one source are one."""
-    rows = notes.select("id", "embed_model", *FIELDS).dropDuplicates(["id"]).join(note_groups(notes), "id")
+def claims(notes: DataFrame, keys: DataFrame) -> DataFrame:
+    """obj (group key), field, source, value: what each source says of each group of keys (id, key). The source of a note
+    is the kind of its source_ref with its embed_model; repeated claims of one source are one."""
+    rows = notes.select("id", "embed_model", *FIELDS).join(keys.select("id", "key"), "id").dropDuplicates(["id"])
     ref = F.when(filled(F.col("source_ref")), F.substring_index("source_ref", ":", 1)).otherwise("-")
     rows = rows.withColumn("source", F.concat_ws("/", F.coalesce("embed_model", F.lit("-")), ref))
     fields = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.when(filled(F.col(f)), F.col(f)).alias("value")) for f in FIELDS)))
@@ -141,17 +139,17 @@ def claims(notes: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def fuse(said: DataFrame, rounds: int = 4, max_sources: int = MAX_SOURCES) -> DataFrame:
+def fuse(said: DataFrame, rounds: int = 4) -> DataFrame:
     """obj, field, value, confidence: the value of maximum posterior of each object and field.
 
     said: obj, field, source, value. In turns, values are scored by the accuracies of their sources, accuracies are the
     mean posterior of a source's claims, and sources that share more minority values than their accuracies explain are
     taken for copies: a vote counts less for every more accurate source of the same value it may have copied from.
-    Sources are at most max_sources, so an object has at most so many claims per field whatever its number of records,
-    and what the driver sees is one row per source and one per pair of sources.
+    Sources are kinds of origin, not records: an object has at most one claim per source and field whatever its number of
+    records, and what the driver sees is one row per source and one per pair of sources that meet. Where every user is a
+    source of its own, give their groups instead.
     """
-    top = said.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source").limit(max_sources - 1).select("source", F.lit(True).alias("_k"))
-    said = cut(said.join(F.broadcast(top), "source", "left").select("obj", "field", F.when(F.col("_k"), F.col("source")).otherwise("other").alias("source"), "value").distinct())
+    said = cut(said.select("obj", "field", "source", "value").distinct())
     accuracy = {r.source: 0.8 for r in said.select("source").distinct().collect()}
     # before anything is known of values, agreement alone tells copies from independent sources
     copied = _copies(said.withColumn("p", F.lit(1.0)), accuracy)
@@ -209,7 +207,9 @@ def _copies(each: DataFrame, accuracy: dict[str, float]) -> dict[tuple[str, str]
 
 
 def fused(notes: DataFrame) -> DataFrame:
-    """group_min_id, field, value, confidence for groups of two or more notes."""
-    keys = note_groups(notes)
-    groups = keys.groupBy("key").agg(F.min("id").alias("group_min_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return fuse(claims(notes)).join(groups, F.col("obj") == F.col("key")).select("group_min_id", "field", "value", "confidence")
+    """group_min_id, field, value, confidence for groups of two or more notes. Groups of one have nothing to fuse and
+    tell nothing of copies, so they stay out."""
+    keys = cut(note_groups(notes))
+    groups = cut(keys.groupBy("key").agg(F.min("id").alias("group_min_id"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    said = claims(notes, keys.join(groups, "key"))
+    return fuse(said).join(groups, F.col("obj") == F.col("key")).select("group_min_id", "field", "value", "confidence")
