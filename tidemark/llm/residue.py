@@ -4,8 +4,8 @@ Each result is reduced to its answer (without query line, links and closing hint
 units (sentences and lines).
 
 * Alignment. The skeleton of a unit has a gap for every slot, short delimited token, number, id, path and host. Units of
-  all results are aligned by their skeletons. A skeleton recurs if it is met in at least three results and in one of
-  10,000. A result is suspect if half of its units recur or are bad by themselves; a recurring skeleton is a template if
+  all results are aligned by their skeletons. A skeleton recurs if it is met under at least three queries and as many as
+  one in 10,000 results; the same answer given again to the same query is a copy, not a template. A result is suspect if half of its units recur or are bad by themselves; a recurring skeleton is a template if
   four fifths of its results are suspect. What content merely quotes, or says in the same words by chance, is met among
   content and so is none.
 * Slots. Tokens in template syntax and the defaults of unset variables. A unit with two or more slots that retain a
@@ -150,7 +150,7 @@ _LOREM = re.compile(r"\blorem\b.{0,10}\bipsum\b")
 # Words that prose of en, de, es or fr can hardly do without.
 _GLUE = frozenset("the a an of to in is was and for that it with on as at by be not are or from this der die das und ist nicht mit für ein eine zu den von im auf es wir el la los las de que y en no un una con por para se le les des du est et dans pour une sur".split())
 _MASK = re.compile(r"\b[0-9a-f]{8,}\b|\b[\w\-]+(?:\.[\w\-]+)*\.(?:example|invalid|test|com|org|net|io|dev)\b|(?<!<)/[\w/.\-]+|\b\w+/[\d.]+|\b\w*_\w+\b|\d+")
-#: Results in which a skeleton must be met to recur: this many, and this share of all.
+#: Queries under which a skeleton must be met to recur: this many, and this share of the number of results.
 LEAST, RATE = 3, 1e-4
 #: Share of a recurring skeleton's results that must be suspect.
 TOGETHER = 0.8
@@ -212,13 +212,15 @@ def key(unit: str) -> int:
 
 
 def _units(results: DataFrame, known: bool) -> DataFrame:
-    """result_table, result_id, page (hash of the set of skeletons), n (units that say something), bad, made (slots and
+    """result_table, result_id, origin (hash of the query, or of the result where none is known), page (hash of the set of skeletons), n (units that say something), bad, made (slots and
     filler), kind, keys (skeletons of the units that are neither bad nor neutral). The one scan of the texts."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out: dict[str, list] = {c: [] for c in ("page", "n", "bad", "made", "kind", "keys")}
-            for text in pdf["result_text"]:
+            out: dict[str, list] = {c: [] for c in ("origin", "page", "n", "bad", "made", "kind", "keys")}
+            for table, i, asked, text in zip(pdf["result_table"], pdf["result_id"], pdf["tool_input"], pdf["result_text"]):
+                head = _HEADER.match(text)
+                out["origin"].append(xxhash.xxh64_intdigest(asked or (head and head[0].strip().split("\n")[0]) or f"{table}\n{i}") - 2**63)
                 us = units(answer(text))
                 kinds, keys = [judge(u, known) for u in us], [key(u) for u in us]
                 bad = [k for k in kinds if k not in ("", "neutral")]
@@ -230,25 +232,25 @@ def _units(results: DataFrame, known: bool) -> DataFrame:
                 out["keys"].append([x for x, k in zip(keys, kinds) if k == ""])
             yield pdf[["result_table", "result_id"]].assign(**out).astype({"page": "Int64"})
 
-    return results.mapInPandas(make, "result_table string, result_id long, page long, n int, bad int, made int, kind string, keys array<long>")
+    return results.mapInPandas(make, "result_table string, result_id long, origin long, page long, n int, bad int, made int, kind string, keys array<long>")
 
 
 def residue(tables: dict[str, DataFrame], known: bool = True) -> DataFrame:
     """result_table, result_id, kind of each result that is residue. Null and blank texts are none; a redelivered row
     counts once. Results without any unit (only marks) are none."""
     ids = ["result_table", "result_id"]
-    rows = reduce(DataFrame.unionByName, (t.select(F.lit(n).alias("result_table"), "result_id", "result_text") for n, t in tables.items()))
+    rows = reduce(DataFrame.unionByName, (t.select(F.lit(n).alias("result_table"), "result_id", (F.col("tool_input") if "tool_input" in t.columns else F.lit(None)).cast("string").alias("tool_input"), "result_text") for n, t in tables.items()))
     rows = rows.where(F.col("result_id").isNotNull()).where(F.length(F.trim(F.regexp_replace("result_text", r"[\s\p{Z}\p{Cf}]+", " "))) > 0).dropDuplicates(ids)
     results = cut(_units(rows, known))
     least = F.greatest(F.lit(LEAST), F.ceil(results.agg(F.count(F.lit(1))).scalar() * F.lit(RATE)))
     # one row per result and skeleton; nearly all skeletons are met once and are gone after the first aggregation
-    each = results.select(*ids, F.explode("keys").alias("key")).groupBy(*ids, "key").agg(F.count(F.lit(1)).alias("c"))
-    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least).select("key")
+    each = results.select(*ids, "origin", F.explode("keys").alias("key")).groupBy(*ids, "origin", "key").agg(F.count(F.lit(1)).alias("c"))
+    often = each.select("key", "origin").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least).select("key")
     again = cut(each.join(often, "key"))
     found = lambda which, name: which.groupBy(*ids).agg(F.sum("c").alias(name))
     suspect = results.join(found(again, "r"), ids, "left").select(*ids, ((F.col("bad") + F.coalesce("r", F.lit(0))) * 2 >= F.greatest("n", F.lit(1))).alias("suspect"))
     templates = again.join(suspect, ids).groupBy("key").agg(F.avg(F.col("suspect").cast("double")).alias("share")).where(F.col("share") >= TOGETHER).select("key")
-    pages = results.where("bad > 0 and page is not null").groupBy("page").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least).select("page", F.lit(True).alias("again"))
+    pages = results.where("bad > 0 and page is not null").select("page", "origin").distinct().groupBy("page").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least).select("page", F.lit(True).alias("again"))
     votes = results.drop("keys").join(found(again.join(templates, "key"), "a"), ids, "left").fillna(0, ["a"])
     some = votes.where("bad > 0 or a > 0").join(pages, "page", "left")
     total = F.col("bad") + F.col("a")
