@@ -114,3 +114,28 @@ def feedback_precision(feedback: DataFrame) -> DataFrame:
     one = lambda c, v: feedback.select(F.explode(c).alias("id"), F.lit(v).alias("good"))
     rows = one("helpful", 1).unionByName(one("noise", 0)).select(F.substring_index("id", ":", 1).alias("bucket"), "good")
     return rows.groupBy("bucket").agg(F.sum("good").alias("helpful"), F.sum(1 - F.col("good")).alias("noise"), F.round(F.avg("good"), 6).alias("precision"))
+
+
+def exact_count(df: DataFrame) -> DataFrame:
+    """n, estimated: counts come from file footers or one partial aggregate per task, so they are never estimated."""
+    return df.agg(F.count(F.lit(1)).alias("n"), F.lit(False).alias("estimated"))
+
+
+def tiers(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """keys, tier, n over frames of (keys, tier, n): the best tier of each key and the largest n seen."""
+    rows = parts[0].select(*keys, "tier", "n")
+    for p in parts[1:]:
+        rows = rows.unionByName(p.select(*keys, "tier", "n"))
+    return rows.groupBy(*keys).agg(F.min("tier").alias("tier"), F.max("n").alias("n"))
+
+
+def known_in(rows: DataFrame, key: str, *others: DataFrame) -> DataFrame:
+    """Rows with `known`: whether their key is in any of the other frames (each of which has that column)."""
+    out = rows
+    for i, o in enumerate(others):
+        out = out.join(o.select(key).distinct().withColumn(f"_k{i}", F.lit(True)), key, "left")
+    marks = [F.col(f"_k{i}").isNotNull() for i in range(len(others))]
+    any_ = marks[0] if marks else F.lit(False)
+    for m in marks[1:]:
+        any_ = any_ | m
+    return out.withColumn("known", any_).select(*rows.columns, "known")

@@ -120,3 +120,10 @@ def typeahead(entities: DataFrame, degrees: DataFrame, said: str, n: int = 10) -
     """Entities whose name contains what was typed, the best connected first."""
     rows = entities.where(F.lower("name").contains(said.strip().lower())) if said.strip() else entities.limit(0)
     return rows.join(degrees.withColumnRenamed("node", "uuid"), "uuid", "left").orderBy(F.desc_nulls_last("degree"), "name", "uuid").limit(n)
+
+
+def with_names(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """Edges with src_name and tgt_name from entities (uuid, name); null where an end is unknown."""
+    e = entities.groupBy("uuid").agg(F.min("name").alias("name"))
+    side = lambda c: e.select(F.col("uuid").alias(f"{c}_uuid"), F.col("name").alias(f"{c}_name"))
+    return edges.join(side("src"), "src_uuid", "left").join(side("tgt"), "tgt_uuid", "left")

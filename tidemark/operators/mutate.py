@@ -51,10 +51,52 @@ def history(old: DataFrame, new: DataFrame, key: str, body: str, now: Column) ->
 
 
 def replace_children(old: DataFrame, delta: DataFrame, parent: str) -> DataFrame:
-    """Children of the parents in the delta replaced by the delta's."""
+    """Children of the parents in the delta replaced by the delta's. A parent without children in the delta keeps its own."""
     return old.join(delta.select(parent).distinct(), parent, "left_anti").unionByName(delta.select(*old.columns))
 
 
+def reset_if_changed(old: DataFrame, delta: DataFrame, keys: list[str], watched: str, reset: str) -> DataFrame:
+    """upsert() in which a row whose `watched` column changes loses its `reset` column (a derived value, now stale)."""
+    was = old.select(*keys, F.col(watched).alias("_was"), F.col(reset).alias("_had"))
+    same = F.col("_was").eqNullSafe(F.col(watched))
+    kind = old.schema[reset].dataType
+    return upsert(old, delta.join(was, keys, "left").withColumn(reset, F.when(same, F.col("_had")).otherwise(F.lit(None).cast(kind))).drop("_was", "_had"), keys)
+
+
+def apply_notes(notes: DataFrame, decided: DataFrame, now: Column) -> DataFrame:
+    """Notes after decisions (action, target_id, id, type, hook, body): insert; update (hook and body in place); supersede
+    (the target points to the new note, which is inserted); retype (type only, updated_at as it was). One decision per
+    target and action counts, the last by id; decisions on notes that aren't there do nothing. Applied twice it is the same."""
+    last = lambda action: decided.where(F.col("action") == action).groupBy(F.col("target_id").alias("id")).agg(F.max_by(F.struct("id", "type", "hook", "body"), "id").alias(f"_{action}"))
+    out = notes
+    for action in ("update", "supersede", "retype"):
+        out = out.join(last(action), "id", "left")
+    u, s, r = F.col("_update"), F.col("_supersede"), F.col("_retype")
+    touched = u.isNotNull() | s.isNotNull()
+    new = {
+        "hook": F.when(u.isNotNull(), u["hook"]).otherwise(F.col("hook")), "body": F.when(u.isNotNull(), u["body"]).otherwise(F.col("body")), "type": F.coalesce(r["type"], F.col("type")),
+        "superseded_by": F.coalesce(s["id"], F.col("superseded_by")), "updated_at": F.when(touched, now.cast(notes.schema["updated_at"].dataType)).otherwise(F.col("updated_at")),
+    }
+    out = out.select(*(new.get(c, F.col(c)).alias(c) for c in notes.columns))
+    fresh = decided.where("action in ('insert', 'supersede')").dropDuplicates(["id"]).join(notes.select("id"), "id", "left_anti")
+    have = {"id": F.col("id"), "type": F.col("type"), "hook": F.col("hook"), "body": F.col("body"), "created_at": now, "updated_at": now}
+    return out.unionByName(fresh.select(*((have[c] if c in have else F.lit(None)).cast(notes.schema[c].dataType).alias(c) for c in notes.columns)))
+
+
+def mark_private(sessions: DataFrame, changes: DataFrame) -> DataFrame:
+    """Private sessions after changes (session_id, private, at): the last change of a session decides."""
+    last = changes.groupBy("session_id").agg(F.max_by("private", "at").alias("_p"))
+    kept = sessions.select("session_id").distinct().join(last, "session_id", "left").where("coalesce(_p, true)").select("session_id")
+    return kept.union(last.where("_p").select("session_id")).distinct()
+
+
+def count_retrievals(episodes: DataFrame, served: DataFrame) -> DataFrame:
+    """Episodes with retrieval_count raised by how often each was served (id, one row per serving); served ids that aren't
+    stored change nothing. Summed before the join, so an episode served by every query is one row."""
+    n = served.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
+    return episodes.join(n, "id", "left").withColumn("retrieval_count", (F.coalesce("retrieval_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast(episodes.schema["retrieval_count"].dataType)).drop("_n")
+
+
 def watermark(old: Column, new: Column) -> Column:
     """A mark that only rises."""
     return F.greatest(old, new)
@@ -130,10 +172,12 @@ def usage_rollup(registry: DataFrame, fired: DataFrame) -> DataFrame:
 
 
 def apply_preferences(prefs: DataFrame, decided: DataFrame, now: Column) -> DataFrame:
-    """Preferences after decisions (action, target_id, id, pref, polarity): reasserted, superseded and linked, inserted."""
-    r = decided.where("action = 'reassert'").groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
+    """Preferences after decisions (action, target_id, id, pref, polarity): reasserted, merged (reasserted under the newest
+    wording), superseded and linked, inserted."""
+    r = decided.where("action in ('reassert', 'merge')").groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
     s = decided.where("action = 'supersede'").groupBy(F.col("target_id").alias("id")).agg(F.min("id").alias("_by"))
-    out = prefs.join(r, "id", "left").join(s, "id", "left")
+    m = decided.where("action = 'merge'").groupBy(F.col("target_id").alias("id")).agg(F.max_by("pref", "id").alias("_text"))
+    out = prefs.join(r, "id", "left").join(s, "id", "left").join(m, "id", "left").withColumn("pref", F.coalesce("_text", "pref"))
     out = out.withColumn("assert_count", F.col("assert_count") + F.coalesce("_n", F.lit(0)).cast("int")).withColumn("last_asserted", F.when(F.col("_n").isNotNull(), now).otherwise(F.col("last_asserted")))
     out = out.withColumn("t_invalid", F.when(F.col("_by").isNotNull(), now).otherwise(F.col("t_invalid"))).withColumn("superseded_by", F.coalesce("_by", "superseded_by")).select(*prefs.columns)
     new = decided.where("action in ('insert', 'supersede')")

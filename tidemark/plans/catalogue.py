@@ -3,10 +3,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import q_analytics, q_buckets, q_graph, q_resolve, q_retrieval, q_sessions
+from tidemark.plans import q_analytics, q_buckets, q_graph, q_resolve, q_retrieval, q_sessions, q_store
 from tidemark.plans.registry import QUERIES, SQL
 
-MODULES = (q_analytics, q_buckets, q_graph, q_resolve, q_retrieval, q_sessions)
+MODULES = (q_analytics, q_buckets, q_graph, q_resolve, q_retrieval, q_sessions, q_store)
 
 
 def queries():
