@@ -57,5 +57,5 @@ def test_entry(spark):
 
 
 def test_overlay_has_every_episode(spark):
-    got = catalogue.queries()["validity_overlay_all"](spark, D)
+    got = catalogue.queries()["validity_overlay"](spark, D)
     assert got.where("episode_id >= 200").count() > 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,16 +24,16 @@ def _count(words: str, term: str) -> Column:
     return F.size(F.filter(words, lambda x: x == F.lit(term)))
 
 
-def bm25(docs: DataFrame, id_col: str, text: str, query: str, k: int = 100, k1: float = K1, b: float = B) -> DataFrame:
-    """id, score, rank of the k best documents for the terms of a query; any term may match.
+def bm25_scores(docs: DataFrame, id_col: str, text: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
+    """id, score of every document with a term of the query, in no order.
 
-    One scan: term frequencies of the few query terms and the length of each document come out of array expressions,
+    Term frequencies of the few query terms and the length of each document come out of array expressions,
     document frequencies and the mean length are one aggregate row, a scalar subquery. A query without a
     letter or digit has no result.
     """
     terms = sorted(set(re.findall(r"[a-z0-9]+", query.lower())))
     if not terms:
-        return docs.select(F.col(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+        return docs.select(F.col(id_col), F.lit(0.0).alias("score")).limit(0)
     toks = docs.select(id_col, T.tokens(text).alias("_t")).select(
         id_col, F.size("_t").alias("_len"), *(_count("_t", t).alias(f"_f{i}") for i, t in enumerate(terms))
     )
@@ -43,8 +44,12 @@ def bm25(docs: DataFrame, id_col: str, text: str, query: str, k: int = 100, k1:
         idf = F.log(1 + (F.col("_s._n") - d + 0.5) / (d + 0.5))
         parts.append(idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_len") / F.col("_s._avg"))))
     hit = reduce(lambda x, y: x | y, (F.col(f"_f{i}") > 0 for i in range(len(terms))))
-    scored = attach(toks.where(hit), stats, "_s").withColumn("score", F.round(reduce(lambda x, y: x + y, parts), 6))
-    top = scored.select(id_col, "score").orderBy(F.desc("score"), id_col).limit(k)
+    return attach(toks.where(hit), stats, "_s").withColumn("score", F.round(reduce(lambda x, y: x + y, parts), 6)).select(id_col, "score")
+
+
+def bm25(docs: DataFrame, id_col: str, text: str, query: str, k: int = 100, k1: float = K1, b: float = B) -> DataFrame:
+    """id, score, rank of the k best documents for the terms of a query; any term may match."""
+    top = bm25_scores(docs, id_col, text, query, k1, b).orderBy(F.desc("score"), id_col).limit(k)
     return ranked(top, F.desc("score"), F.col(id_col))
 
 
@@ -166,17 +171,19 @@ def query_echo(df: DataFrame, content: str, query: str, rank: str = "rank", need
     """
     q = " ".join(query.split()).lower()
     words = q.split(" ")
-    sh = [s for i in range(len(words) - 4) if len(s := " ".join(words[i : i + 5])) >= 25][:2000]
+    sh = [s for i in range(len(words) - 4) if len(s := " ".join(words[i : i + 5])) >= 25]
     if len(q) < 40 or not sh:
         return df
     limit = min(60, max(40, len(q) // 2))
-    flat = F.substring(T.squashed(F.coalesce(F.col(content), F.lit(""))), 1, 8000)
+    flat = T.squashed(F.coalesce(F.col(content), F.lit("")))
 
-    @F.udf("boolean")
-    def echo(t: str) -> bool:
-        from difflib import SequenceMatcher
+    # a common substring of the needed length is one of the query's own substrings of that length
+    pieces = {q[i : i + limit] for i in range(len(q) - limit + 1)}
 
-        return SequenceMatcher(None, t, q, autojunk=False).find_longest_match(0, len(t), 0, len(q)).size >= limit
+    @F.pandas_udf("boolean")
+    def echo(texts: pd.Series) -> pd.Series:
+        found = lambda t: t is not None and any(t[i : i + limit] in pieces for i in range(len(t) - limit + 1))
+        return texts.map(found).astype(bool)
 
     out = df.withColumn("_flat", flat).withColumn("_hit", reduce(lambda a, b: a | b, (F.col("_flat").contains(s) for s in sh)))
     out = out.withColumn("_echo", F.when(F.col("_hit"), echo("_flat")).otherwise(False))

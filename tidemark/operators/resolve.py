@@ -22,15 +22,25 @@ GROUNDED = {"explicit_request": 3.0, "accept": 3.0, "reject": -3.0, "post_change
 
 def exact_dedup(new: DataFrame, stored: DataFrame | None = None, ident: str = "id", order: str = "id") -> DataFrame:
     """New episodes that are no replay: neither their span_id nor their project and content are stored, and they are
-    the first of their kind in the batch. Null spans and null contents never match."""
-    rows = new.withColumn("_h", F.when(F.col("content").isNotNull(), F.md5("content")))
-    first = lambda keys, name: F.when(F.col(keys[-1]).isNull(), 1).otherwise(F.row_number().over(Window.partitionBy(*keys).orderBy(order, ident))).alias(name)
-    rows = rows.select("*", first(["session_id", "span_id"], "_a")).where("_a = 1").select("*", first(["project", "_h"], "_b")).where("_b = 1")
+    the first of their kind in the batch. Null spans and null contents never match.
+
+    The first of a kind is a minimum, taken per task before the shuffle, and rows without a key stay out of it, so neither
+    a text sent a million times nor all rows without a span are gathered in one task. Rows meet their minimum by order
+    and id; rows equal in both are one."""
+    rows = new.withColumn("_h", F.when(F.col("content").isNotNull(), F.md5("content"))).withColumn("_o", F.col(order)).withColumn("_i", F.col(ident)).dropDuplicates(["_o", "_i"])
+
+    def first(df: DataFrame, keys: list[str]) -> DataFrame:
+        keyed = df.where(F.col(keys[-1]).isNotNull())
+        keep = keyed.groupBy(*keys).agg(F.min(F.struct("_o", "_i")).alias("_f")).select(F.col("_f._o").alias("_ko"), F.col("_f._i").alias("_ki"), F.lit(True).alias("_k"))
+        met = df.join(keep, F.col("_o").eqNullSafe(F.col("_ko")) & F.col("_i").eqNullSafe(F.col("_ki")), "left")
+        return met.where(F.col(keys[-1]).isNull() | F.col("_k")).select(df.columns)
+
+    rows = first(first(rows, ["session_id", "span_id"]), ["project", "_h"])
     if stored is not None:
         spans = stored.where("span_id is not null").select("span_id").distinct()
         hashes = stored.where("content is not null").select(F.col("project").alias("_p"), F.md5("content").alias("_sh")).distinct()
         rows = rows.join(spans, "span_id", "left_anti").join(hashes, F.col("project").eqNullSafe(F.col("_p")) & (F.col("_h") == F.col("_sh")), "left_anti")
-    return rows.drop("_h", "_a", "_b")
+    return rows.select(*new.columns)
 
 
 def canonical_min(df: DataFrame, key: str, ident: str) -> DataFrame:

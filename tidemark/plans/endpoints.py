@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import analytics as A
 from tidemark.operators.mutate import flags_now
-from tidemark.operators.ranking import bm25
+from tidemark.operators.ranking import bm25, bm25_scores
 
 
 def catalog(episodes: DataFrame, groups: list[tuple[DataFrame, str]]) -> dict[str, DataFrame]:
@@ -32,12 +32,12 @@ def session(episodes: DataFrame, session_id: str, most: int = 500) -> DataFrame:
 
 def search(tabs: dict[str, tuple[DataFrame, str, str]], query: str, tab: str, limit: int = 20, offset: int = 0) -> tuple[DataFrame, DataFrame]:
     """(totals of all tabs, hits of one). tabs: name -> (frame, id, text)."""
-    hits = {k: bm25(df, i, t, query, 1_000) for k, (df, i, t) in tabs.items()}
     totals = None
-    for k, h in hits.items():
-        one = h.agg(F.count(F.lit(1)).alias("n")).withColumn("tab", F.lit(k))
+    for k, (df, i, t) in tabs.items():
+        one = bm25_scores(df, i, t, query).agg(F.count(F.lit(1)).alias("n")).withColumn("tab", F.lit(k))
         totals = one if totals is None else totals.unionByName(one)
-    return totals, hits[tab].orderBy("rank").offset(offset).limit(limit)
+    df, i, t = tabs[tab]
+    return totals, bm25(df, i, t, query, offset + limit).where(F.col("rank") >= offset).orderBy("rank")
 
 
 def recall_history(metrics: DataFrame, since: Column, limit: int = 50) -> DataFrame:

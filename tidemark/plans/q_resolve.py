@@ -78,15 +78,14 @@ def gate_decisions(spark, d):
     return attach(e, probe, "p").select(F.col("vec_id").alias("id"), B.gate(Vc.cosine(F.col("embedding"), F.col("p.q"))).alias("decision"))
 
 
-@query("""with p as (select vec_id as pref_id, label, embedding::double[] as v from embeddings where vec_id < 20), n as (select vec_id as id, label, embedding::double[] as v from embeddings where vec_id >= 20),
-    m as (select n.id, n.label, p.pref_id, p.label as ol, list_cosine_similarity(n.v, p.v) as s, row_number() over (partition by n.id order by list_cosine_similarity(n.v, p.v) desc, p.pref_id) as rn from n, p)
-    select id, case when s >= 0.3 then 'reassert' when s >= 0.2 and label % 2 <> ol % 2 then 'supersede' when s >= 0.2 then 'confirm' else 'insert' end as action, case when s >= 0.2 then pref_id end as target_id from m where rn = 1""")
+@query("""with e as (select vec_id as id, label as owner, vec_id % 4 < 2 as likes, embedding::double[] as v from embeddings),
+    m as (select n.id, n.likes, p.id as pref_id, p.likes as ol, list_cosine_similarity(n.v, p.v) as s, row_number() over (partition by n.id order by list_cosine_similarity(n.v, p.v) desc, p.id) as rn from e n join e p on p.owner = n.owner and p.id % 2 = 0 and n.id % 2 = 1)
+    select e.id, case when s >= 0.3 then 'reassert' when s >= 0.2 and m.likes <> ol then 'supersede' when s >= 0.2 then 'confirm' else 'insert' end as action, case when s >= 0.2 then pref_id end as target_id from e left join m on m.id = e.id and rn = 1 where e.id % 2 = 1""")
 def pref_action(spark, d):
-    e = read(spark, d, "embeddings").withColumn("polarity", F.when(F.col("label") % 2 == 0, "like").otherwise("dislike"))
-    old = e.where("vec_id < 20").orderBy("vec_id").limit(20).select(F.col("vec_id").alias("pref_id"), F.col("polarity").alias("polarity_old"), F.col("embedding").alias("w"))
-    new = e.where("vec_id >= 20").select(F.col("vec_id").alias("id"), "polarity", "embedding")
-    live = old.agg(F.collect_list(F.struct("pref_id", "polarity_old", "w")).alias("all"))  # the live set of one owner, 20 rows
-    pairs = attach(new, live, "live").select("id", "embedding", F.explode("live.all").alias("o")).select("id", "o.pref_id", "o.polarity_old", "embedding", "o.w")
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("owner"), F.when(F.col("vec_id") % 4 < 2, "like").otherwise("dislike").alias("polarity"), "embedding")
+    new, old = e.where("id % 2 = 1"), e.where("id % 2 = 0").select(F.col("id").alias("pref_id"), "owner", F.col("polarity").alias("polarity_old"), F.col("embedding").alias("w"))
+    # a new preference meets the live ones of its owner, a person's few
+    pairs = new.select("id", "owner", "embedding").join(old, "owner")
     return B.pref_action(new, pairs, Vc.cosine(F.col("embedding"), F.col("w")), 0.3, 0.2)
 
 

@@ -93,7 +93,7 @@ POOL = f"with {BM25}, {VEC}, pool as (select vec.doc_id, vec.sim, vec.rank, b.sc
 
 def _pool(spark, d):
     docs = read(spark, d, "documents")
-    lex = R.bm25(docs, "doc_id", "text", " ".join(TERMS), k=1_000_000).select("doc_id", F.col("score").alias("bm25_score"))
+    lex = R.bm25_scores(docs, "doc_id", "text", " ".join(TERMS)).select("doc_id", F.col("score").alias("bm25_score"))
     return _vector(spark, d).join(lex, "doc_id", "left").join(docs.select("doc_id", "session_id"), "doc_id", "left")
 
 

@@ -4,6 +4,7 @@ as in streaming. Files are read whole, one per session or export shard, because
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -134,7 +135,7 @@ def chat_export_episodes(spark: SparkSession, path: str) -> DataFrame:
     return assemble_episodes(chat_export_records(spark, path), span="claude_ai:", cap=5000, spoken=True)
 
 
-def tree_export_records(spark: SparkSession, path: str, depth: int = 10_000) -> DataFrame:
+def tree_export_records(spark: SparkSession, path: str) -> DataFrame:
     """Record rows of an export whose messages form a tree: the branch from the current node to its root, in order;
     without a usable branch all messages by time. Conversations not to be remembered are skipped. The walk follows
     parents within one conversation's map and stops at a node seen before."""
@@ -142,14 +143,22 @@ def tree_export_records(spark: SparkSession, path: str, depth: int = 10_000) ->
     schema = f"conversation_id string, id string, title string, is_do_not_remember boolean, create_time double, current_node string, mapping map<string,{node}>"
     convo = spark.read.schema(schema).json(path, multiLine=True).withColumn("session_id", F.coalesce("conversation_id", "id"))
     convo = convo.where(F.col("session_id").isNotNull() & ~F.coalesce("is_do_not_remember", F.lit(False)))
-    steps = F.sequence(F.lit(1), F.least(F.size("mapping"), F.lit(depth)))
-    start = F.struct(F.array().cast("array<string>").alias("seen"), F.col("current_node").alias("at"))
 
-    def walk(s: Column, _: Column) -> Column:
-        ok = s["at"].isNotNull() & F.map_contains_key(F.col("mapping"), F.coalesce(s["at"], F.lit(""))) & ~F.array_contains(s["seen"], F.coalesce(s["at"], F.lit("")))
-        return F.when(ok, F.struct(F.concat(s["seen"], F.array(s["at"])).alias("seen"), F.try_element_at("mapping", s["at"])["parent"].alias("at"))).otherwise(F.struct(s["seen"].alias("seen"), F.lit(None).cast("string").alias("at")))
-
-    branch = F.reverse(F.aggregate(steps, start, walk)["seen"])
+    @F.pandas_udf("array<string>")
+    def path_to(current: pd.Series, links: pd.Series) -> pd.Series:
+        def one(at: str | None, pairs) -> list[str]:
+            parent, seen = {p["k"]: p["p"] for p in pairs} if pairs is not None else {}, {}
+            while at in parent and at not in seen:
+                seen[at] = True  # in order of the walk
+                at = parent[at]
+            return [*seen][::-1]
+
+        return pd.Series([one(a, x) for a, x in zip(current, links)], dtype=object)
+
+    # only ids leave the JVM, and a walk is linear in the branch
+    links = F.transform(F.map_entries("mapping"), lambda e: F.struct(e["key"].alias("k"), e["value"]["parent"].alias("p")))
+    convo = convo.withColumn("_branch", path_to("current_node", links))
+    branch = F.coalesce("_branch", F.array().cast("array<string>"))
     on = F.filter(F.transform(branch, lambda k: F.try_element_at(F.col("mapping"), k)["message"]), lambda m: m.isNotNull())
     every = F.array_sort(F.filter(F.transform(F.map_values("mapping"), lambda n: n["message"]), lambda m: m.isNotNull()), lambda a, b: F.when(F.coalesce(a["create_time"], F.lit(0.0)) < F.coalesce(b["create_time"], F.lit(0.0)), -1).otherwise(1))
     rec = convo.where("size(mapping) > 0").select("session_id", F.trim(F.coalesce("title", F.lit(""))).alias("title"), "create_time", F.posexplode(F.when(F.size(on) > 0, on).otherwise(every)).alias("n", "m"))

@@ -17,6 +17,7 @@ from tidemark.functions import text as T
 from tidemark.operators.mutate import assign_sequence
 from tidemark.operators.resolve import exact_dedup
 from tidemark.operators.sessionize import SEPARATOR
+from tidemark.session import exists
 from tidemark.sources.transcripts import session_episodes
 
 EPISODE = "session_id string, sequence int, human_turn string, assistant_turn string, content string, span_id string, created_at timestamp, project string, id long"
@@ -34,10 +35,8 @@ def admit_episodes(new: DataFrame, stored: DataFrame, private: DataFrame | None
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(EPISODE).parquet(path)
-    except Exception:  # noqa: BLE001 - nothing stored yet
-        return spark.createDataFrame([], EPISODE)
+    """What is stored; nothing only where the folder isn't there, so an unreadable store is an error and not an empty one."""
+    return spark.read.schema(EPISODE).parquet(path) if exists(spark, path) else spark.createDataFrame([], EPISODE)
 
 
 def ingest_batch(batch: DataFrame, store: str, private: DataFrame | None = None) -> None:
@@ -60,29 +59,31 @@ CHUNK = "session_id string, start_sequence int, end_sequence int, episode_ids ar
 def chunk_stream(episodes: DataFrame, size: int = 4, step: int = 3) -> DataFrame:
     """Complete windows of a stream of episodes (session_id, sequence, id, content), each exactly once.
 
-    The state of a session is its last episodes, fewer than a window: session length doesn't matter.
+    The state of a session is its last episodes, fewer than a window, and the place of the last one taken: session length
+    doesn't matter. An episode at or before that place was taken already or comes too late for its window, and is left out.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def emit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seqs, ids, texts = state.get if state.exists else ([], [], [])
+        seqs, ids, texts, *upto = state.get if state.exists else ([], [], [], None, None)
         rows = pd.concat(list(batches)).drop_duplicates("id").sort_values(["sequence", "id"])
         done = set(ids)
         out = []
         for s, i, t in zip(rows["sequence"], rows["id"], rows["content"]):
-            if int(i) in done:
+            if int(i) in done or (upto[0] is not None and (int(s), int(i)) <= tuple(upto)):  # delivered again, or later than its window
                 continue
+            upto = [int(s), int(i)]
             seqs, ids, texts = [*seqs, int(s)], [*ids, int(i)], [*texts, t or ""]
             if len(ids) == size:
                 text = SEPARATOR.join(x for x in texts if x)
                 if text.strip():
                     out.append((key[0], seqs[0], seqs[-1], ids, text))
                 seqs, ids, texts = seqs[step:], ids[step:], texts[step:]
-        state.update((seqs, ids, texts))
+        state.update((seqs, ids, texts, *upto))
         yield pd.DataFrame(out, columns=["session_id", "start_sequence", "end_sequence", "episode_ids", "content"])
 
     return episodes.groupBy("session_id").applyInPandasWithState(
-        emit, CHUNK, "seqs array<int>, ids array<long>, texts array<string>", "append", GroupStateTimeout.NoTimeout
+        emit, CHUNK, "seqs array<int>, ids array<long>, texts array<string>, upto int, upto_id long", "append", GroupStateTimeout.NoTimeout
     )
 
 
