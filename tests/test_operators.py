@@ -233,6 +233,39 @@ def test_match_candidates(spark):
     assert {(r.id, r.match) for r in E.match_candidates(new, old).collect()} == {(1, 10)}  # 3 is vetoed by its signature
 
 
+def _sets(rng, n, first, universe):
+    pick = lambda p: [f"{p}{rng.randrange(universe)}" for _ in range(rng.randint(0, 8))] + [None] * (rng.random() < 0.1)
+    rows = [(first + i, pick("s"), pick("t")) for i in range(n)]
+    return [*rows, *[(first + n + i, r[1], r[2]) for i, r in enumerate(rows[:20])]]
+
+
+@pytest.mark.parametrize("universe", [9, 60])
+@pytest.mark.parametrize("hot", [10**9, 60, 0])
+def test_match_candidates_match_brute_force(spark, universe, hot):
+    rng, shape = random.Random(universe), "id int, sessions array<string>, tokens array<string>"
+    new, old = _sets(rng, 150, 0, universe), _sets(rng, 120, 1000, universe)
+    want = set()
+    for i, s, t in new:
+        best = None
+        for m, s2, t2 in old:
+            a, b, c, d = (set(x) - {None} for x in (s, s2, t, t2))
+            sj, tj = (len(x & y) / len(x | y) if x and y else 0.0 for x, y in ((a, b), (c, d)))
+            if (sj >= 0.4 and not (c and d and tj < 0.15)) or tj >= 0.6:
+                best = min(best or (9, 0), (-max(sj, tj * 0.9), m))
+        want |= {(i, best[1])} if best else set()
+    got = E.match_candidates(spark.createDataFrame(new, shape), spark.createDataFrame(old, shape), hot=hot, block=50)
+    assert {tuple(r) for r in got.select("id", "match").collect()} == want and len(want) > 5
+
+
+def test_match_candidates_shuffle_no_pairs(spark):
+    rng, shape = random.Random(1), "id int, sessions array<string>, tokens array<string>"
+    some = lambda first: spark.createDataFrame([(first + i, [f"o{k}" for k in range(30) if rng.random() < 0.8], [f"t{k}" for k in range(25) if rng.random() < 0.8]) for i in range(600)], shape)
+    new, old = some(0), some(1000)
+    written = lambda: sum(x.totalShuffleWrite() for x in [spark.sparkContext._jsc.sc().statusStore().executorSummary("driver")])
+    before = written()
+    assert E.match_candidates(new, old).count() == 600
+    assert written() - before < 3_000_000  # 360,000 pairs
+
 def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([(1, "a", "x"), (2, "b", None)], "k int, v string, w string")
     new = spark.createDataFrame([(2, None, "y"), (3, "c", "z")], "k int, v string, w string")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from tidemark.functions.vectors import cosine
 from tidemark.session import cut
 
 PERMS, BANDS, ROWS = 64, 16, 4
+#: Pairs of one element in a ledger above which its rows are compared in blocks, and rows in a block.
+HOT_PAIRS, BLOCK = 4096, 2048
 # Supertypes that may be anything, and pairs that may be the same.
 PERMISSIVE = ["", "other", "Concept"]
 ALLOWED = [("Tool", "Service"), ("Tool", "Library"), ("Library", "Service"), ("Project", "Product")]
@@ -218,20 +223,126 @@ def union_evidence(old: DataFrame, new: DataFrame, keep: int = 60) -> DataFrame:
     return rows.withColumn("_l", last).where(F.col("_l") <= keep).drop("_n", "_r", "_l")
 
 
-def match_candidates(new: DataFrame, ledger: DataFrame) -> DataFrame:
+def _sets(d: DataFrame) -> DataFrame:
+    """id, sessions, tokens as sorted sets; a null in a set is nothing, a row without one of the sets meets nobody."""
+    sets = [F.sort_array(F.array_distinct(F.array_compact(c))).alias(c) for c in ("sessions", "tokens")]
+    return d.where("id is not null and sessions is not null and tokens is not null").select("id", *sets)
+
+
+def _classes(d: DataFrame) -> DataFrame:
+    """id (of the class), own, sessions, tokens: rows with equal sets are one, own is the least id of them."""
+    return cut(_sets(d).groupBy("sessions", "tokens").agg(F.min("id").alias("own")).withColumn("id", F.monotonically_increasing_id()))
+
+
+def _elements(d: DataFrame) -> DataFrame:
+    """id, kind, need, e: the elements of both sets. need: how many a match has in common with the set at least (two
+    fifths of the sessions or three of the tokens), in whole numbers."""
+    out = None
+    for c, fifths in (("sessions", 2), ("tokens", 3)):
+        rows = d.select("id", F.lit(c[0]).alias("kind"), F.floor((F.size(c) * fifths + 4) / 5).cast("int").alias("need"), F.explode(c).alias("e"))
+        rows = rows.withColumn("e", F.concat("kind", F.lit(":"), "e"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _prefix(elements: DataFrame, sizes: DataFrame) -> DataFrame:
+    """id, e: of each set the elements with the fewest pairs, so many that a match has the first common one among them."""
+    rows = elements.join(sizes, "e").groupBy("id", "kind", "need").agg(F.sort_array(F.collect_list(F.struct("pairs", "e"))).alias("es"))
+    return rows.where("size(es) >= need").select("id", F.explode(F.slice("es", 1, F.size("es") - F.col("need") + 1)).alias("x")).select("id", "x.e")
+
+
+def _common(left: pa.Table, right: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """How many elements each left row's set has in common with each right row's, and how many both have together."""
+    sides = [t[name].combine_chunks() for t in (left, right)]
+    sides = [s.chunk(0) if isinstance(s, pa.ChunkedArray) else s for s in sides]
+    codes = pa.concat_arrays([pc.list_flatten(s) for s in sides]).dictionary_encode().indices
+    codes = codes.to_numpy()
+    rows = [pc.list_parent_indices(s).to_numpy() for s in sides]
+    a, b = codes[: len(rows[0])], codes[len(rows[0]) :]
+    size = np.add.outer(*(np.bincount(r, minlength=t.num_rows).astype(np.float64) for r, t in zip(rows, (left, right))))
+    both = np.zeros((left.num_rows, right.num_rows), np.float32)
+    most = codes.max(initial=-1) + 1
+    na, nb = (np.bincount(c, minlength=most) for c in (a, b))
+    often = na * nb * 64 > both.size
+    for at in np.array_split(np.flatnonzero(often), math.ceil(often.sum() / 1024) or 1):  # by matrix, some columns at a time
+        col = np.full(most, -1)
+        col[at] = np.arange(len(at))
+        hot = []
+        for r, c, t in zip(rows, (a, b), (left, right)):
+            m = np.zeros((t.num_rows, len(at)), np.float32)
+            keep = col[c] >= 0
+            m[r[keep], col[c][keep]] = 1
+            hot.append(m)
+        both += hot[0] @ hot[1].T
+    seldom = (na > 0) & (nb > 0) & ~often
+    keep = [seldom[c] for c in (a, b)]
+    order = [np.argsort(c[k], kind="stable") for c, k in zip((a, b), keep)]
+    split = [np.split(r[k][o], np.cumsum(n[seldom])[:-1]) if seldom.any() else [] for r, k, o, n in zip(rows, keep, order, (na, nb))]
+    for x, y in zip(*split):
+        both[np.ix_(x, y)] += 1
+    return both, size - both
+
+
+def _best(left: pa.Table, right: pa.Table) -> pa.Table:
+    """id, match, rank: the best match of each left row within two blocks of rows."""
+    right = right.sort_by("own")  # of equal ranks the first one stays
+    met, rank, fits = np.zeros((left.num_rows, right.num_rows), bool), [], []
+    for name in ("sessions", "tokens"):
+        both, either = _common(left, right, name)
+        met |= both > 0
+        rank.append(both / np.maximum(either, 1))
+        fits.append(pc.list_value_length(left[name]).to_numpy() > 0)
+        fits.append(pc.list_value_length(right[name]).to_numpy() > 0)
+    sj, tj = rank
+    veto = np.logical_and.outer(fits[2], fits[3]) & (tj < 0.15)
+    met &= ((sj >= 0.4) & ~veto) | (tj >= 0.6)
+    best = np.where(met, np.maximum(sj, tj * 0.9), -1.0)
+    at = best.argmax(axis=1)
+    top = best[np.arange(len(at)), at]
+    of = np.flatnonzero(top >= 0)
+    return pa.table({"id": left["id"].take(pa.array(of)), "match": right["own"].take(pa.array(at[of])), "rank": top[of]})
+
+
+def match_candidates(new: DataFrame, ledger: DataFrame, hot: int = HOT_PAIRS, block: int = BLOCK) -> DataFrame:
     """id, match: the ledger row a new candidate is: session overlap of at least 0.4, unless the signatures disagree
     (below 0.15), or signatures of at least 0.6; best by max(session, 0.9 signature). new, ledger: id, sessions, tokens.
 
-    Met through shared sessions or tokens, never all against all.
+    Equal rows are one class. Classes are met through the sessions or tokens that the overlap asks for, the rarest first.
+    An element with more than `hot` pairs makes no pair rows: its classes are compared block by block, and only the best
+    match of each class leaves a block. Where the hot elements together make more pairs than there are, their classes are
+    compared once, whatever the element.
     """
-    el = lambda d, i: d.select(F.col("id").alias(i), F.explode(F.array_distinct(F.concat(F.transform("sessions", lambda s: F.concat(F.lit("s:"), s)), F.transform("tokens", lambda t: F.concat(F.lit("t:"), t))))).alias("e"))
-    cand = el(new, "id").join(el(ledger, "match"), "e").select("id", "match").distinct()
-    met = cand.join(new.select("id", F.col("sessions").alias("s1"), F.col("tokens").alias("t1")), "id").join(ledger.select(F.col("id").alias("match"), F.col("sessions").alias("s2"), F.col("tokens").alias("t2")), "match")
+    a, b = _classes(new), _classes(ledger)
+    ea, eb = _elements(a), _elements(b)
+    count = lambda x, n: x.groupBy("e").agg(F.count(F.lit(1)).alias(n))
+    sizes = cut(count(ea, "n").join(count(eb, "m"), "e").select("e", (F.col("n") * F.col("m")).alias("pairs")))
+    pa_, pb = cut(_prefix(ea, sizes)), cut(_prefix(eb, sizes))
+    keys = cut(count(pa_, "n").join(count(pb, "m"), "e"))
+    is_hot = F.col("n") * F.col("m") > hot
+    cold = keys.where(~is_hot).select("e")
+    cand = pa_.join(cold, "e").join(pb.select("e", F.col("id").alias("match")), "e").select("id", "match").distinct()
+    met = cand.join(a.select("id", F.col("sessions").alias("s1"), F.col("tokens").alias("t1")), "id").join(b.select(F.col("id").alias("match"), "own", F.col("sessions").alias("s2"), F.col("tokens").alias("t2")), "match")
     some = lambda a, b: F.when((F.size(a) > 0) & (F.size(b) > 0), T.jaccard(F.col(a), F.col(b))).otherwise(0.0)
     met = met.withColumn("sj", some("s1", "s2")).withColumn("tj", some("t1", "t2"))
     veto = (F.size("t1") > 0) & (F.size("t2") > 0) & (F.col("tj") < 0.15)
-    met = met.where(((F.col("sj") >= 0.4) & ~veto) | (F.col("tj") >= 0.6)).withColumn("rank", F.greatest("sj", F.col("tj") * 0.9))
-    return met.groupBy("id").agg(F.min_by("match", F.struct(-F.col("rank"), "match")).alias("match"))
+    met = met.where(((F.col("sj") >= 0.4) & ~veto) | (F.col("tj") >= 0.6)).select("id", F.col("own").alias("match"), F.greatest("sj", F.col("tj") * 0.9).alias("rank"))
+    hot_keys = keys.where(is_hot)
+    pairs = hot_keys.agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+    if pairs:
+        left, right = (p.join(hot_keys, "e").select("id", "e", "n", "m") for p in (pa_, pb))
+        n, m = (x.select("id").distinct().count() for x in (left, right))
+        if pairs > n * m:
+            left, right = (x.select("id", F.lit("").alias("e"), F.lit(n).alias("n"), F.lit(m).alias("m")).distinct() for x in (left, right))
+        parts = lambda c: F.ceil(F.col(c) / F.lit(block)).cast("int")
+        mine = lambda c: F.pmod(F.xxhash64("id"), parts(c)).cast("int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
+        left = left.select("id", "e", mine("n").alias("i"), every("m").alias("j")).join(a, "id")
+        right = right.select("id", "e", every("n").alias("i"), mine("m").alias("j")).join(b, "id")
+        met = met.unionByName(left.groupBy("e", "i", "j").cogroup(right.groupBy("e", "i", "j")).applyInArrow(_best, f"id long, match {b.schema['own'].dataType.simpleString()}, rank double"))
+    first = F.min(F.struct((-F.col("rank")).alias("r"), "match")).alias("m")
+    found = a.join(met.groupBy("id").agg(first), "id").select("sessions", "tokens", "m")
+    rows = _sets(new).join(found, ["sessions", "tokens"])
+    return rows.groupBy("id").agg(F.min("m").getField("match").alias("match"))
 
 
 def rule_tokens(c: Column, stop: list[str]) -> Column:
