@@ -9,7 +9,7 @@ form, are equal too rarely at that distance: 17 % of those bits differ.) As both
 question with another reply is no candidate.
 
 Store. A folder with the tables `blocks` (key, id: the rotated block tables in one, key = hash of project, table and
-block), `texts` (id, hash of the project, words of both sides, fingerprint, blocks), `refused` and a `log` of finished batches. Both
+block), `texts` (id, hash of the project, words of both sides, fingerprint), `refused` and a `log` of finished batches. Both
 tables are bucketed by their key: a batch's keys and candidates are shuffled to the buckets, stored rows stay where they
 are. What follows the batch: fingerprints, shuffles, candidates, comparisons, appended rows. What touches the history:
 one pass over the two narrow columns of `blocks` and, for the candidates, one over `texts`, both without a shuffle.
@@ -42,10 +42,10 @@ BLOCKS, ROWS = 28, 3
 MAX_BITS = 24
 #: Largest share of changed words in question and in reply.
 MAX_CHANGED = 0.2
-#: Blocks with more texts than this are told apart by further blocks.
+#: Texts of blocks with more than this make no pair rows but are compared where they are.
 HOT = 64
-#: Further blocks at most; texts that agree in so many are compared as they are.
-DEPTH = 3
+#: Rows of each side that are compared at once in such a block, and hash ranges of words.
+SQUARE, BINS = 2048, 64
 
 _rng = np.random.Generator(np.random.PCG64(5))
 _MIX = _rng.integers(0, 2**64, BLOCKS * ROWS, np.uint64)
@@ -107,9 +107,9 @@ def fingerprints(episodes: DataFrame) -> DataFrame:
 
 
 def block_rows(texts: DataFrame) -> DataFrame:
-    """Rows (key, k, id) of the block tables."""
+    """Rows (key, id) of the block tables."""
     each = texts.select("id", "space", F.posexplode("blocks").alias("k", "block"))
-    return each.select(F.xxhash64("space", "k", "block").alias("key"), "k", "id")
+    return each.select(F.xxhash64("space", "k", "block").alias("key"), "id")
 
 
 def _same(a: list[str], b: list[str], most: float) -> bool:
@@ -149,7 +149,7 @@ class Store:
     """The accepted history in a folder of the shared file system. Buckets: as many as the session has shuffle partitions
     when the store is made, unless given."""
 
-    COLUMNS = {"blocks": "key long, k int, id long, commit long", "texts": "id long, space long, q string, r string, fp long, blocks array<long>, commit long"}
+    COLUMNS = {"blocks": "key long, id long, commit long", "texts": "id long, space long, q string, r string, fp long, commit long"}
     KEY = {"blocks": "key", "texts": "id"}
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
@@ -222,7 +222,7 @@ def admit(history: str, batch: DataFrame, token: str | None = None, seed: bool =
         refused = members.select(F.coalesce("by", "rep").alias("id_a"), F.col("id").alias("id_b")).where("id_a != id_b").distinct()
         refused.join(known.withColumnRenamed("id", "id_b"), "id_b", "left_anti").select("id_a", "id_b").write.parquet(out)
         fresh = reps.join(by.select(F.col("b").alias("id")).union(known).distinct(), "id", "left_anti")
-    store.append("texts", fresh.select("id", "space", "q", "r", "fp", "blocks"), commit)
+    store.append("texts", fresh.select("id", "space", "q", "r", "fp"), commit)
     store.append("blocks", block_rows(fresh), commit)
     store.finish(token, commit)
     remove(spark, work)
@@ -296,54 +296,93 @@ def _edges(store: Store, reps: DataFrame, hot: int) -> DataFrame:
     with_old = cold.where("n <= 2").select("a", F.explode(F.array_distinct(F.array("x", "y"))).alias("b")).union(cold.where("n > 2").select("key", "a").join(of, "key").select("a", F.col("id").alias("b")))
     pairs = inside.withColumn("old", F.lit(False)).union(with_old.withColumn("old", F.lit(True))).distinct()
     edges = cut(_verify(pairs, store, reps))
-    return edges if not any_hot else _hot_edges(store, reps, keys, met, hot_keys, edges, hot)
-
-
-def _hot_edges(store: Store, reps: DataFrame, keys: DataFrame, met: DataFrame, hot_keys: DataFrame, edges: DataFrame, hot: int) -> DataFrame:
-    """Edges within hot blocks. A mass of near copies is met by its leaders: every text of a hot block is compared with
-    the least id of batch and of history there, and who repeats one of them is set aside. The rest is told apart by
-    further blocks. Who was set aside for a leader that is itself refused takes part in a second pass."""
-    here = cut(keys.join(hot_keys, "key").select("key", "k", "id"))
-    there = cut(met.join(hot_keys, "key").select("key", "a").distinct())
-    lead = here.groupBy("key").agg(F.min("id").alias("a")).withColumn("old", F.lit(False)).union(there.groupBy("key").agg(F.min("a").alias("a")).withColumn("old", F.lit(True)))
-    led = here.join(lead, "key").where(F.col("old") | (F.col("a") < F.col("id"))).select("a", F.col("id").alias("b"), "old").distinct()
-    led = cut(_verify(led, store, reps))
-    aside = led.select(F.col("b").alias("id")).distinct()
-    blocks = reps.select("id", "blocks")
-    fresh = here.join(blocks, "id").select("key", "k", "id", F.lit(False).alias("old"), "blocks")
-    rows = fresh
-    if store.commits:
-        k = here.groupBy("key").agg(F.min("k").alias("k"))
-        old = there.join(k, "key").join(store.rows("texts").select("id", "blocks"), F.col("a") == F.col("id"))
-        rows = fresh.join(aside, "id", "left_anti").unionByName(old.select("key", "k", "id", F.lit(True).alias("old"), "blocks"))
-    else:
-        rows = fresh.join(aside, "id", "left_anti")
-    rows = cut(rows)
-    found = _verify(_deeper(rows, hot, DEPTH), store, reps)
-    edges = cut(edges.unionByName(led).unionByName(found).distinct())
-    gone = _resolve(edges).select(F.col("b").alias("id")).distinct()
-    orphans = cut(aside.join(gone, "id", "left_anti"))
-    if orphans.isEmpty():
-        return edges
-    rows = cut(rows.unionByName(fresh.join(orphans, "id")))
-    return cut(edges.unionByName(_verify(_deeper(rows, hot, DEPTH), store, reps)).distinct())
-
-
-def _deeper(rows: DataFrame, hot: int, depth: int) -> DataFrame:
-    """Pairs (a, b, old) of rows (key, k, id, old, blocks) of a hot key that agree in a further block. Pairs that agree in
-    this one only are 0.3 % of those at one changed word in eight. Blocks after k are enough: of two hot keys of a pair,
-    the earlier one sees the later. Keys still hot go one block deeper; after `depth` of them whole keys are compared."""
-    each = rows.select("key", "id", "old", "blocks", "k", F.posexplode("blocks").alias("j", "block")).where("j > k")
-    each = each.select(F.xxhash64("key", "j", "block").alias("key"), F.col("j").alias("k"), "id", "old", "blocks")
-    size = cut(each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("old")).alias("fresh")).where("n > 1 and fresh > 0"))
-    last = depth <= 1
-    small = each.join(size.where(F.lit(last) | (F.col("n") <= hot)).select("key"), "key")
-    b = small.where("not old").select("key", F.col("id").alias("b"))
-    pairs = small.select("key", F.col("id").alias("a"), "old").join(b, "key").where(F.col("old") | (F.col("a") < F.col("b"))).select("a", "b", "old").distinct()
-    if last or size.where(F.col("n") > hot).isEmpty():
-        return pairs
-    more = cut(each.join(size.where(F.col("n") > hot).select("key"), "key"))
-    return pairs.unionByName(_deeper(more, hot, depth - 1)).distinct()
+    return edges if not any_hot else _hot_edges(store, reps, keys, met, hot_keys, edges)
+
+
+def _sketch(texts: DataFrame) -> DataFrame:
+    """id, fp, counts: how many words of question and of reply fall into each of BINS hash ranges."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.zeros((batch.num_rows, 2, BINS), np.uint16)
+            for side in (0, 1):
+                for i, t in enumerate(batch.column(1 + side).to_pylist()):
+                    counts[i, side] = np.minimum(np.bincount([xxhash.xxh32_intdigest(w) % BINS for w in t.split()], minlength=BINS), 2**16 - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array([x.tobytes() for x in counts], pa.binary())], names=["id", "fp", "counts"])
+
+    return cut(texts.select("id", "q", "r", "fp").mapInArrow(make, "id long, fp long, counts binary"))
+
+
+def _close(left: pa.Table, right: pa.Table, old: bool) -> pa.Table:
+    """a, b: of the texts of a hot block those pairs whose fingerprints, and whose counts of words, allow a repeat. Texts
+    that differ in d words have at least the longer one's words less d in common, and no fewer in common ranges."""
+    a, b = (t["id"].to_numpy() for t in (left, right))
+    fa, fb = (t["fp"].to_numpy().view(np.uint64) for t in (left, right))
+    ca, cb = (np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint16).reshape(-1, 2, BINS) for t in (left, right))
+    na, nb = (c.sum(axis=2, dtype=np.int64) for c in (ca, cb))
+    new_a, new_b = (t["new"].to_numpy(zero_copy_only=False).astype(bool) for t in (left, right))
+    out = []
+    for lo in range(0, len(b), 128):
+        part = slice(lo, lo + 128)
+        fits = np.bitwise_count(fa[:, None] ^ fb[None, part]) <= MAX_BITS
+        fits &= new_a[:, None] | new_b[None, part]
+        if not old:
+            fits &= a[:, None] < b[None, part]
+        x, y = np.nonzero(fits)
+        y += lo
+        for at in np.array_split(np.arange(len(x)), len(x) // 50_000 + 1):
+            i, j = x[at], y[at]
+            most = np.maximum(na[i], nb[j])
+            common = np.minimum(ca[i], cb[j]).sum(axis=2, dtype=np.int64)
+            keep = (most - common <= (MAX_CHANGED * most).astype(np.int64)).all(axis=1)
+            out.append(np.stack([a[i[keep]], b[j[keep]]]))
+    pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return pa.table({"a": pairs[0], "b": pairs[1]})
+
+
+def _meet(a: DataFrame, b: DataFrame, of_a: DataFrame, of_b: DataFrame, old: bool) -> DataFrame:
+    """Pairs (a, b, old) of rows (key, id, new) with the same key of which one is new, by blocks of rows: only what may be
+    a repeat leaves a block. of_a, of_b: their sketches."""
+    sizes = a.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(b.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key")
+    parts = lambda c: F.ceil(F.col(c) / F.lit(SQUARE)).cast("int")
+    mine = lambda c: F.pmod(F.xxhash64("id"), parts(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
+    left = a.join(sizes, "key").select("key", "id", "new", mine("n").alias("i"), every("m").alias("j")).join(of_a, "id")
+    right = b.join(sizes, "key").select("key", "id", "new", every("n").alias("i"), mine("m").alias("j")).join(of_b, "id")
+    left, right = (x.toDF(*x.columns) for x in (left, right))  # both may come from one table
+    close = left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInArrow(lambda x, y: _close(x, y, old), "a long, b long")
+    return close.distinct().withColumn("old", F.lit(old))
+
+
+def _hot_edges(store: Store, reps: DataFrame, keys: DataFrame, met: DataFrame, hot_keys: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges within hot blocks. Every text of a hot block is first compared with the least id of batch and of history
+    there. Who repeats it has no smaller original in that block, and who is refused is nobody's original: a mass of near
+    copies is met by its leaders. All other pairs are compared. If a leader turns out to be refused, or a refused text to
+    be accepted, what was left out for its sake is compared in a further round, until nothing is."""
+    here = cut(keys.join(hot_keys, "key").select("key", "id"))
+    there = cut(met.join(hot_keys, "key").select("key", F.col("a").alias("id")).distinct())
+    least = lambda d, old: d.groupBy("key").agg(F.min("id").alias("a")).withColumn("old", F.lit(old))
+    to = here.join(least(here, False).unionByName(least(there, True)), "key").where("old or a < id").select("key", "a", F.col("id").alias("b"), "old")
+    led = cut(_verify(to.select("a", "b", "old").distinct(), store, reps))
+    done = cut(to.join(led, ["a", "b", "old"]).select("key", "a", F.col("b").alias("id"), "old"))
+    edges = cut(edges.unionByName(led).distinct())
+    fresh = _sketch(reps.join(here.select("id").distinct(), "id"))
+    if not there.isEmpty():
+        past = _sketch(store.rows("texts").join(there.select("id").distinct().hint("shuffle_hash"), "id"))
+        rest = here.join(done.where("old"), ["key", "id"], "left_anti")
+        pairs = _meet(there.withColumn("new", F.lit(True)), rest.withColumn("new", F.lit(True)), past, fresh, True)
+        edges = cut(edges.unionByName(_verify(pairs, store, reps)).distinct())
+    tried = [here.limit(0), here.limit(0)]
+    while True:
+        gone = cut(_resolve(edges).select("b").distinct())
+        led_now = done.where("not old").join(gone.withColumnRenamed("b", "a"), "a", "left_anti")
+        want = [here.join(gone.withColumnRenamed("b", "id"), "id", "left_anti"), here.join(led_now, ["key", "id"], "left_anti")]
+        new = [cut(w.join(t, ["key", "id"], "left_anti").select("key", "id")) for w, t in zip(want, tried)]
+        if all(x.isEmpty() for x in new):
+            return edges
+        a, b = (x.withColumn("new", F.lit(True)).unionByName(t.withColumn("new", F.lit(False))) for x, t in zip(new, tried))
+        edges = cut(edges.unionByName(_verify(_meet(a, b, fresh, fresh, False), store, reps)).distinct())
+        tried = [cut(t.unionByName(x)) for t, x in zip(tried, new)]
 
 
 def _resolve(edges: DataFrame) -> DataFrame:
