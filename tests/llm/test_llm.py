@@ -87,6 +87,14 @@ def test_closed_form_equals_assembly(spark):
     assert got == _assembled(rows) and 20 < len(got) < 140
 
 
+def test_notices_however_they_begin(spark):
+    notices = ["null", "None", "undefined", "NaN", "nil", "no response", "Request was aborted.", "interrupted by user", "[Image]", "(aborted)", "<Request interrupted by user for tool use>", "{empty}", "*keine Antwort*", "_n/a_", "API Error: 500 overloaded", "HTTP 503", "http error", "Network error", "server error: timeout", "internal error", "fatal error", "stream closed", "error", "Connection reset", "socket closed", "gateway timed out", "upstream failed", "model overloaded", "502 bad gateway", "429", "Fehler: Verbindung weg", "api fehler 3", "error de red"]
+    words_ = ["nothing else", "no, later", "[Image] of a cat", "error in line 3 of the file", "42", "conclusion"]
+    rows = [(f"{b}{t}{b}", t != "429") for t in notices for b in ("", " \u200b\n", "\u3000\t")] + [(t, False) for t in words_] + [("\u200b", True), ("...", True), (None, True)]
+    got = spark.createDataFrame(rows, "t string, want boolean").withColumn("got", conversations.missing(F.col("t")))
+    assert [r.t for r in got.collect() if r.got != r.want] == []
+
+
 # ---- 2 splitting
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["word ", "a longer sentence here. ", "\n\n", "# head\n", "- item\n", "x" * 700, "```\ncode\n```\n", "| a | b |\n", "ü日本 "]), max_size=120))

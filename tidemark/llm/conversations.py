@@ -47,6 +47,8 @@ TRANSPORT = [
 ]
 #: The names of nothing that count without brackets.
 NAKED = r"^(?:null|none|undefined|nan|nil)$|^(?:no response|request (?:was )?aborted|interrupted by user)\.?$"
+#: How a side begins that can be a bracketed notice, one of NAKED or one of TRANSPORT.
+BEGINS = rf"(?iu)^(?:{BLANK})?(?:[\[\(<{{*_]|nul|non|und|nan|nil|no|req|int|api|htt|net|ser|fat|str|err|con|soc|gat|ups|mod|feh|[45]\d\d)"
 _OPEN, _CLOSE = r"[\[\(<{*_]{1,2}", r"[\]\)>}*_]{1,2}"
 
 
@@ -64,8 +66,9 @@ def missing(side: Column) -> Column:
     bracketed = rf"^{_OPEN} ?(?:{notice}|{'|'.join(TRANSPORT)}) ?[.!…]*{_CLOSE}[.!]?$"
     transport = rf"^(?:{'|'.join(TRANSPORT)})$"
     words = side.rlike(r"[\p{L}\p{N}\p{So}]")
-    nothing = ~words | lower.rlike(bracketed) | lower.rlike(NAKED) | (lower.rlike(transport) & ~lower.rlike(r"^\d+$"))
-    return F.when(side.isNull(), True).otherwise(nothing)
+    notice_like = lower.rlike(bracketed) | lower.rlike(NAKED) | (lower.rlike(transport) & ~lower.rlike(r"^\d+$"))
+    # nearly every text is told by how it begins; only the others are put into plain form
+    return F.when(side.isNull() | ~words, True).when(~side.rlike(BEGINS), False).otherwise(notice_like)
 
 
 def _nodes(episodes: DataFrame) -> DataFrame:
