@@ -406,6 +406,23 @@ def test_mix_with_estimated_sources(spark):
     assert all(abs(r.share - 0.5) < 0.01 and r.expected > r.tokens for r in out.values())
 
 
+def test_rates_are_those_of_single_documents(spark):
+    rng = random.Random(6)
+    rows = [(i, "a" if i % 3 else "b", rng.randint(20, 60), None) for i in range(300)]
+    rows += [(1000 + i, None, rng.randint(20, 60), dict(zip("abc", m))) for i, m in enumerate([(12, 4, 0), (9, 7, 0), (10, 2, 4), (3, 13, 0)] * 40)]
+    counts = spark.createDataFrame(rows, "doc_id long, source string, tokens long, estimate map<string,int>")
+    targets = spark.createDataFrame([("m", "a", 1.0, 2), ("m", "b", 3.0, 3)], "mix string, source string, weight double, max_repeats int")
+    rates, goals = mixing.fit(counts, targets)
+    goal, have = {g[1]: g[3] for g in goals}, {g[1]: g[4] for g in goals}
+    member = np.array([[float(s == k) if s else e.get(k, 0) / 16 for k in "ab"] for _, s, _, e in rows])
+    tokens, cap = np.array([float(r[2]) for r in rows]), np.array([{"a": 2.0, "b": 3.0, None: 2.0}[r[1]] for r in rows])
+    x = np.zeros(len(rows))
+    for _ in range(mixing.STEPS):
+        pull = [(goal[k] - (x * member[:, j] * tokens).sum()) / have[k] for j, k in enumerate("ab")]
+        x = np.clip(x + member @ pull, 0, cap)
+    assert sorted(rates["m"].soft.values()) == pytest.approx(sorted(set(np.round(x[300:], 9))), abs=1e-6) and len(rates["m"].soft) == 4
+
+
 def test_sources_held_out(spark):
     rows = read(spark, "/root/testdata/sf0.01", "documents").where("source is not null and length(text) > 50").select("doc_id", "text", "source").collect()
     model = mixing.Sources([(r.text, r.source) for r in rows if r.doc_id % 3])

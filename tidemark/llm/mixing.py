@@ -7,8 +7,8 @@ hash of the id). So every document contributes expected tokens to the domains of
 Rates. Every document has a rate between 0 and its cap, max_repeats of its source, or the least one of the mix where the
 source is only estimated. Projected gradient steps minimise the squared relative distance between expected and target
 tokens of all domains of a mix. Documents with equal memberships have equal rates, so they are aggregated to membership
-profiles first: one per known source, and one per leading source of the estimated ones with their mean membership. The
-steps run over those few profiles. The size of a mix is the largest at which every domain can reach its share: the least of max_repeats *
+profiles first: one per known source, and one per distinct posterior (in sixteenths) of the estimated ones. The steps run
+over those profiles, so every document has the rate that steps over single documents would give it. The size of a mix is the largest at which every domain can reach its share: the least of max_repeats *
 tokens / share; if no domain of a mix has a limit, each of its documents occurs at least once.
 
 Selection. A rate of 2.3 means two occurrences of every document and a third one of documents with 30 % of the tokens.
@@ -24,6 +24,7 @@ tokens are not selected.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -42,8 +43,8 @@ BINS = 4096
 STEPS = 12
 #: Labelled documents used for the fit at most.
 MAX_LABELLED = 6000
-#: The leading source of an estimate.
-TOP = "array_max(transform(map_entries(estimate), e -> struct(e.value, e.key))).key"
+#: The membership of an estimate, whatever the order of its map.
+PROFILE = "to_json(array_sort(map_entries(estimate)))"
 _WORD = re.compile(r"[^\W\d_]+")
 _START = re.compile(r"^\s*(\S{1,12})", re.M)
 
@@ -164,16 +165,12 @@ def fit(counts: DataFrame, targets: DataFrame, steps: int = STEPS) -> tuple[dict
     counts = counts.where("tokens > 0")
     totals = cut(counts.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("have")))
     goals = [tuple(r) for r in _goals(totals, targets).collect()]
-    guessed = counts.where("source is null and estimate is not null").withColumn("top", F.expr(TOP))
-    mass = guessed.select("tokens", "top", F.explode("estimate").alias("s", "p")).groupBy("top", "s").agg(F.sum(F.col("tokens") * F.col("p") / 16).alias("n"))
-    per_top = guessed.groupBy("top").agg(F.sum("tokens").alias("all"))
+    guessed = counts.where("source is null and estimate is not null")
     profiles = [(r["source"], {r["source"]: 1.0}, float(r["have"])) for r in totals.join(_targets(targets).select("source").distinct(), "source").collect()]
     member: dict[str, dict[str, float]] = {}
-    size = {}
-    for r in mass.join(per_top, "top").collect():
-        member.setdefault(r["top"], {})[r["s"]] = r["n"] / r["all"]
-        size[r["top"]] = float(r["all"])
-    profiles += [(None, m, size[t]) for t, m in sorted(member.items())]
+    for r in guessed.groupBy(F.expr(PROFILE).alias("profile")).agg(F.sum("tokens").alias("n")).orderBy("profile").collect():
+        member[r["profile"]] = {e["key"]: e["value"] / 16 for e in json.loads(r["profile"])}
+        profiles.append((None, member[r["profile"]], float(r["n"])))
     out = {}
     for mix in sorted({g[0] for g in goals}):
         mine = [g for g in goals if g[0] == mix]
@@ -181,7 +178,7 @@ def fit(counts: DataFrame, targets: DataFrame, steps: int = STEPS) -> tuple[dict
         own = [p for p in profiles if p[0] is None or p[0] in rates.goals]
         for _ in range(steps):
             rates.step(own)
-        rates.soft = {t: rates.rate(None, m) for t, m in member.items()}
+        rates.soft = {p: rates.rate(None, m) for p, m in member.items()}
         rates.hard = {g[1]: rates.rate(g[1], {g[1]: 1.0}) for g in mine}
         out[mix] = rates
     return out, goals
@@ -200,7 +197,7 @@ def select_counted(counts: DataFrame, targets: DataFrame, bins: int = BINS) -> D
     counts = counts.where("tokens > 0")
     rates, goals = fit(counts, targets)
     hard = [(mix, s, int(x + 1e-9), max(0.0, x - int(x + 1e-9))) for mix, r in rates.items() for s, x in r.hard.items()]
-    soft = [(mix, t, x) for mix, r in rates.items() for t, x in r.soft.items() if x > 0]
+    soft = [(mix, p, x) for mix, r in rates.items() for p, x in r.soft.items() if x > 0]
     plan = spark.createDataFrame(hard, "mix string, source string, whole int, part double")  # one row per target
     place = F.xxhash64("doc_id", F.lit(9))
     docs = counts.select("doc_id", "source", "tokens", "estimate", F.pmod(place, F.lit(bins)).cast("int").alias("bin"), place.alias("h"))
@@ -222,8 +219,8 @@ def select_counted(counts: DataFrame, targets: DataFrame, bins: int = BINS) -> D
     out = full.where("repeats > 0").select("mix", "doc_id", "source", "tokens", "repeats", F.lit(None).cast("map<string,int>").alias("estimate"))
     if soft:
         unit = (F.col("h").cast("double") / F.lit(2.0**64)) + 0.5
-        by_top = spark.createDataFrame(soft, "mix string, top string, rate double")
-        guess = docs.where("source is null and estimate is not null").withColumn("top", F.expr(TOP)).join(F.broadcast(by_top), "top")
+        by_profile = spark.createDataFrame(soft, "mix string, profile string, rate double")
+        guess = docs.where("source is null and estimate is not null").withColumn("profile", F.expr(PROFILE)).join(by_profile, "profile")
         repeats = F.floor("rate").cast("int") + (unit < F.col("rate") - F.floor("rate")).cast("int")
         out = out.unionByName(guess.select("mix", "doc_id", "source", "tokens", repeats.alias("repeats"), "estimate").where("repeats > 0"))
     # a repeated doc_id counts once
