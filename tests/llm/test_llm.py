@@ -283,6 +283,33 @@ def test_hot_blocks_leave_no_pair_out(spark):
     assert got == want and len(want) > 150
 
 
+@pytest.mark.parametrize("hot,most", [(64, 40), (1, 110)])
+def test_a_batch_takes_few_stages(spark, tmp_path, hot, most):
+    """The driver keeps something of every plan and stage, so a replay's memory follows their number."""
+    df, sc = eps(spark, _batch_rows(random.Random(6))), spark.sparkContext
+    batches.admit(str(tmp_path / "h"), df.where("batch_no = 0"), "0", seed=True, hot=hot)
+    sc.setJobGroup(f"batch, hot {hot}", "one batch")
+    batches.admit(str(tmp_path / "h"), df.where("batch_no = 1"), "1", hot=hot)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {k for j in tracker.getJobIdsForGroup(f"batch, hot {hot}") for k in tracker.getJobInfo(j).stageIds}
+    ran = [k for k in stages if (x := tracker.getStageInfo(k)) and x.numCompletedTasks]
+    assert 0 < len(ran) <= most
+
+
+def test_blocks_cut_anywhere_meet_all_pairs():
+    rng = np.random.default_rng(3)
+    key, old = np.sort(rng.integers(0, 40, 300)), rng.random(300) < 0.6
+    ids, fp = rng.permutation(300).astype(np.int64), rng.integers(-(2**63), 2**63, 300)
+    near = lambda i, j: (int(fp[i]) ^ int(fp[j])) % 2**64
+    want = set()
+    for i in range(300):
+        for j in range(300):
+            if key[i] == key[j] and not old[j] and (old[i] or ids[i] < ids[j]) and near(i, j).bit_count() <= batches.MAX_BITS:
+                want.add((int(ids[i]), int(ids[j]), bool(old[i])))
+    assert {(int(a), int(b), bool(o)) for a, b, o in zip(*batches._pairs(key, ids, fp, old))} == want and want
+
+
 def test_edit_band():
     assert batches._same("a b c d e f g h".split(), "a b x d e f g h".split(), 0.2)
     assert not batches._same("a b c d".split(), "a x y d".split(), 0.2)
